@@ -102,8 +102,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hashes of each run of k consecutive values (as many as len(values) - k + 1, none if fewer)."""
+def window_hashes(values: np.ndarray, k: int, seed: int = 0, light: bool = False) -> np.ndarray:
+    """Hashes of each run of k consecutive values (as many as len(values) - k + 1, none if fewer).
+
+    light: a shorter finaliser, whose upper half is well mixed.
+    """
     n = len(values)
     if n < k:
         return np.zeros(0, np.uint64)
@@ -111,6 +114,11 @@ def window_hashes(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     given = mix(values + np.uint64(seed * 0x632BE59BD9B4E019 & (2**64 - 1))) if seed else values
     np.cumsum(given * up[:n], out=total[1:])
+    if light:
+        h = (total[k:] - total[: n - k + 1]) * down[: n - k + 1]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h
     return mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
 
 

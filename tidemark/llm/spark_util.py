@@ -23,6 +23,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # shuffle files of what came before are cleaned once the driver drops their handles
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
