@@ -6,7 +6,8 @@ only these are posted; equal sets are one class and post once.
 
 * Short postings (at most `full_run` classes) give all their pairs whose sizes allow a link. Long ones give each
   class's pairs with its neighbour and with a few hubs, and are kept.
-* Candidates are verified exactly, by trie: the ordered sets of a hub's candidates are walked as a trie (rows
+* Of each class's candidates one is verified first, then only those pairs whose classes are still apart. Candidates
+  of a hub are salted in groups of about 500. They are verified exactly, by trie: the ordered sets of a hub's candidates are walked as a trie (rows
   in order, each starting at the depth that it shares with the one before), overlaps with the hub are counted
   once per shared branch, and a branch is pruned where the n-grams left can't reach the overlap needed.
 * Verified links and classes are united by distributed union-find. Kept postings then give every pair that is
@@ -175,20 +176,23 @@ def trie_links(hub: np.ndarray, members: list[np.ndarray], percent: int, step: i
 
 
 def _verify(gram: int, percent: int):
-    """Of rows (a, b, text_a, text_b), in groups of one b, the links (a, b)."""
+    """Links (a, b) from rows (b, salt, a, text) in order: a hub's own row (null a) before those of its candidates."""
 
     def run(batches):
+        hub, hub_set = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for part in chunks(batch, "text_a"):
-                b = part.column("b").to_numpy()
-                if not len(b):
-                    continue
-                new = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-                sets, at = gram_sets(part, gram, "text_a")
-                hubs, hub_at = gram_sets(part.take(pa.array(new)), gram, "text_b")
+            for part in chunks(batch):
+                sets, at = gram_sets(part, gram)
+                b, member = part.column("b").to_numpy(), part.column("a").is_valid().to_numpy(zero_copy_only=False)
+                salt = part.column("salt").to_numpy()
                 keep = np.zeros(len(b), bool)
-                for j, (lo, hi) in enumerate(zip(new, np.append(new[1:], len(b)), strict=True)):
-                    keep[lo:hi] = trie_links(hubs[hub_at[j] : hub_at[j + 1]], [sets[at[i] : at[i + 1]] for i in range(lo, hi)], percent)
+                borders = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (salt[1:] != salt[:-1])])
+                for lo, hi in zip(borders, np.append(borders[1:], len(b)), strict=True):
+                    if not member[lo]:
+                        hub, hub_set = b[lo], sets[at[lo] : at[lo + 1]].copy()
+                        lo += 1
+                    if lo < hi and hub == b[lo]:
+                        keep[lo:hi] = trie_links(hub_set, [sets[at[i] : at[i + 1]] for i in range(lo, hi)], percent)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -241,18 +245,22 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hu
     classes = profiles.where("n > 0").groupBy("d1", "n").agg(F.first("prefix").alias("prefix"))
     postings = classes.select(F.explode("prefix").alias("h"), F.col("d1").alias("node"), "n").repartition("h")
     found = materialize(postings.mapInArrow(_candidates(percent, full_run, hubs), "a long, b long, h long, n long"), "candidates")
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    links = _verified(docs, profiles, materialize(pairs, "set-pairs"), gram, percent)
+    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "set-pairs")
+    links = _verified(docs, profiles, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
     parts = materialize(components(links), "set-components")
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rest = across.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
     long = found.where("b is null").select(F.col("a").alias("node"), "h", "n")
-    if long.limit(1).count():
-        placed = long.join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-        rest = placed.join(mixed, "h").select("h", "node", "n", "component").repartition("h").mapInArrow(_crossing(percent), "a long, b long").distinct()
-        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "set-pairs")
-        if rest.limit(1).count():
-            more = _verified(docs, profiles, rest, gram, percent)
-            parts = components(links.union(more))
+    placed = long.join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    crossing = placed.join(mixed, "h").select("h", "node", "n", "component").repartition("h").mapInArrow(_crossing(percent), "a long, b long")
+    rest = materialize(rest.union(crossing).distinct(), "set-pairs")
+    discard(found)
+    discard(pairs)
+    if rest.limit(1).count():
+        parts = components(links.union(_verified(docs, profiles, rest, gram, percent)))
+    discard(rest)
     return profiles.select("id", "dk", "n", "d1"), parts
 
 
@@ -261,9 +269,12 @@ def _verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, gram: int,
     nodes = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()
     chosen = profiles.join(nodes, "d1", "left_semi").groupBy("d1").agg(F.min("dk").alias("dk"))
     texts = materialize(docs.select("dk", "text").join(chosen, "dk").groupBy("d1").agg(F.min("text").alias("text")), "set-texts")
-    one = pairs.join(texts.select(F.col("d1").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("d1").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    links = materialize(both.sortWithinPartitions("b").mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
+    members = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    members = members.join(texts.withColumnRenamed("d1", "a"), "a").select("b", "salt", "a", "text")
+    own = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("d1", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+    rows = members.union(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    links = materialize(rows.mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
     discard(texts)
     return links
 
