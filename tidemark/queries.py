@@ -1,11 +1,24 @@
-"""Queries of the engine's operators over the test tables, and their SQL twins."""
+"""Queries of the engine's operators over the test tables, and their SQL twins.
+
+`sampled` style queries take a registry entry each: a name, a function (spark, folder) and, where SQL can say it,
+the twin that must return the same rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions.library import call
+from .operators import dml, indicators, market, timeseries
+from .plans import dialect
+from .session import load
+from .sources import files, line_protocol
+from .streaming import rollups
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+HOUR = "date_trunc('hour', ts)"
 
 
 def query(name: str, sql: str | None = None):
@@ -18,7 +31,374 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("sample_by_hour", "SELECT date_trunc('hour', ts) AS bucket, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY 1")
+def spark_sql(name: str, sql: str, twin: str | None = None):
+    """A query that both engines read; its tables become temporary views."""
+
+    def run(spark, sf_dir):
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
+            if t in sql:
+                load(spark, sf_dir, t).createOrReplaceTempView(t)
+        return dialect.run(spark, sql, tie=["event_id"])
+
+    QUERIES[name] = run
+    ORACLES[name] = twin or sql
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+# sampling -------------------------------------------------------------------------------------------------
+
+
+@query("sample_by_hour", f"SELECT {HOUR} AS bucket, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY 1")
 def sample_by_hour(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count(F.lit(1)).alias("n"))
+    return timeseries.sample_by(load(spark, sf_dir, "events"), "ts", "1h", {"avg_value": F.round(F.avg("value"), 6), "n": F.count(F.lit(1))})
+
+
+@query("sample_by_keys", f"SELECT event_type, {HOUR} AS bucket, round(sum(value), 6) AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2")
+def sample_by_keys(spark, sf_dir):
+    return timeseries.sample_by(load(spark, sf_dir, "events"), "ts", "1h", {"total": F.round(F.sum("value"), 6), "lo": F.min("value"), "hi": F.max("value")}, ["event_type"])
+
+
+@query("sample_by_first_observation", "WITH o AS (SELECT min(epoch_us(ts)) % 3600000000 AS o FROM events) SELECT make_timestamp((epoch_us(ts) - o) // 3600000000 * 3600000000 + o) AS bucket, count(*) AS n FROM events, o GROUP BY 1")
+def sample_by_first(spark, sf_dir):
+    return timeseries.sample_by(load(spark, sf_dir, "events"), "ts", "1h", {"n": F.count(F.lit(1))}, align="first")
+
+
+ONE_USER = "WITH e AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n, round(sum(value), 6) AS s FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY 1), g AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS bucket FROM e)"
+
+
+def _one_user(spark, sf_dir, fill):
+    events = load(spark, sf_dir, "events")
+    least = events.agg(F.min("user_id").alias("user_id"))
+    rows = events.join(F.broadcast(least), "user_id")
+    return timeseries.sample_by(rows, "ts", "1h", {"n": F.count(F.lit(1)), "s": F.round(F.sum("value"), 6)}, fill=fill)
+
+
+@query("sample_by_fill_null", ONE_USER + " SELECT bucket, n, s FROM g LEFT JOIN e ON b = bucket")
+def fill_null(spark, sf_dir):
+    return _one_user(spark, sf_dir, "null")
+
+
+@query("sample_by_fill_prev", ONE_USER + " SELECT bucket, n, s FROM g ASOF LEFT JOIN e ON bucket >= b")
+def fill_prev(spark, sf_dir):
+    return _one_user(spark, sf_dir, "prev")
+
+
+@query("sample_by_fill_const", ONE_USER + " SELECT bucket, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM g LEFT JOIN e ON b = bucket")
+def fill_const(spark, sf_dir):
+    return _one_user(spark, sf_dir, 0)
+
+
+@query("sample_by_fill_linear", ONE_USER + ", p AS (SELECT bucket, p.b AS pb, p.s AS ps, q.b AS qb, q.s AS qs FROM g ASOF LEFT JOIN e p ON bucket >= p.b ASOF LEFT JOIN e q ON bucket <= q.b) SELECT bucket, round(CASE WHEN pb = bucket THEN ps ELSE ps + (qs - ps) * ((epoch_us(bucket) - epoch_us(pb)) / (epoch_us(qb) - epoch_us(pb))) END, 9) AS s FROM p")
+def fill_linear(spark, sf_dir):
+    return _one_user(spark, sf_dir, "linear").select("bucket", F.round("s", 9).alias("s"))
+
+
+@query("latest_on", "SELECT user_id, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest(spark, sf_dir):
+    return timeseries.latest_on(load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "ts", ["user_id"], ["event_id"])
+
+
+@query("downsample_ohlcv", "SELECT l_partkey % 50 AS symbol, date_trunc('month', l_shipdate) AS bar, arg_min(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber)) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS vwap, count(*) AS trades FROM lineitem GROUP BY 1, 2")
+def downsample(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").withColumn("symbol", F.col("l_partkey") % 50)
+    bars = indicators.ohlcv(F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"))
+    bars["vwap"] = F.round(bars["vwap"], 4)
+    return rows.groupBy("symbol", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("bar")).agg(*[c.alias(n) for n, c in bars.items()])
+
+
+# joins ----------------------------------------------------------------------------------------------------
+
+
+@query("asof_join", "WITH l AS (SELECT * FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT l.event_id, l.user_id, l.ts, r.value AS r_value, r.event_id AS r_event_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def asof(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    left, right = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'")
+    return timeseries.asof_join(left, right, "ts", "ts", [("user_id", "user_id")], ["value", "event_id"], ["event_id"], prefix="r_")
+
+
+@query("window_join", "SELECT l.event_id AS l_id, r.event_id AS r_id FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 30 MINUTE WHERE l.event_type = 'purchase' AND r.event_type = 'view'")
+def window_join(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    left = e.where("event_type = 'purchase'").select(F.col("event_id").alias("l_id"), F.col("user_id").alias("l_user"), F.col("ts").alias("l_ts"))
+    right = e.where("event_type = 'view'").select(F.col("event_id").alias("r_id"), F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"))
+    return timeseries.window_join(left, right, "l_ts", "r_ts", "30m", [("l_user", "r_user")]).select("l_id", "r_id")
+
+
+@query("band_join", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 5 AND s_nationkey = c_nationkey")
+def band(spark, sf_dir):
+    return timeseries.band_join(load(spark, sf_dir, "supplier"), load(spark, sf_dir, "customer"), "s_acctbal", "c_acctbal", 5.0, [("s_nationkey", "c_nationkey")]).select("s_suppkey", "c_custkey")
+
+
+@query("mark_join", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS matched FROM customer")
+def mark(spark, sf_dir):
+    return timeseries.mark_join(load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "orders").where("o_totalprice > 300000"), [("c_custkey", "o_custkey")])
+
+
+spark_sql("join_inner", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+spark_sql("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+spark_sql("join_right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 350000")
+spark_sql("join_full", "SELECT a.k AS ak, b.k AS bk FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k")
+spark_sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey <> n_regionkey")
+spark_sql("join_using_multi", "SELECT r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, customer, nation, region WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY r_name")
+spark_sql("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
+spark_sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+spark_sql("join_lateral", "SELECT c_custkey, t.m FROM customer, LATERAL (SELECT max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) t WHERE c_custkey % 5 = 0")
+
+# relational -----------------------------------------------------------------------------------------------
+
+spark_sql("filter_pushdown", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+spark_sql("between_symmetric", "SELECT p_partkey FROM part WHERE p_size BETWEEN SYMMETRIC 20 AND 10", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20")
+spark_sql("regex_operators", "SELECT p_partkey FROM part WHERE p_brand ~ '[13]$' AND p_type !~* 'zzz'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '[13]$') AND NOT regexp_matches(p_type, '(?i)zzz')")
+spark_sql("case_forms", "SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS a, CASE WHEN value > 50 THEN 'hi' WHEN value > 10 THEN 'mid' ELSE 'lo' END AS b FROM events")
+spark_sql("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)")
+spark_sql("subquery_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+spark_sql("subquery_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+spark_sql("quantified_all", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT max(p_retailprice) FROM part WHERE p_size = 1)", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 1)")
+spark_sql("distinct_rows", "SELECT DISTINCT event_type, user_id % 10 AS g FROM events")
+spark_sql("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t")
+spark_sql("set_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
+spark_sql("set_union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+spark_sql("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+spark_sql("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+spark_sql("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT n_regionkey FROM nation")
+spark_sql("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+spark_sql("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+spark_sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
+spark_sql("having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+spark_sql("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+spark_sql("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+spark_sql("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+spark_sql("pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
+
+
+@query("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def distinct_on(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    best = rows.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey"))).alias("r"))
+    return best.select("o_custkey", "r.o_orderkey", "r.o_totalprice")
+
+
+@query("pivot", "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
+def pivot(spark, sf_dir):
+    return load(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).count().na.fill(0)
+
+
+@query("unpivot", "SELECT p_partkey, 'size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
+def unpivot(spark, sf_dir):
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return rows.unpivot("p_partkey", ["size", "price"], "name", "value")
+
+
+# windows --------------------------------------------------------------------------------------------------
+
+BY_USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+spark_sql("window_ranks", f"SELECT event_id, row_number() {BY_USER}) AS rn, rank() OVER (PARTITION BY event_type ORDER BY value) AS rk, dense_rank() OVER (PARTITION BY event_type ORDER BY value) AS dr FROM events")
+spark_sql("window_lag_lead", f"SELECT event_id, lag(value, 1, 0.0) {BY_USER}) AS a, lead(value, 2) {BY_USER}) AS b FROM events")
+spark_sql("window_rows", f"SELECT event_id, round(sum(value) {BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS s, round(avg(value) {BY_USER} ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 4) AS a, count(*) {BY_USER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM events")
+spark_sql("window_range", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
+spark_sql("window_values", f"SELECT event_id, first_value(value) {BY_USER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f, last_value(value) {BY_USER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l, nth_value(value, 2) {BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n, min(value) {BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, max(value) {BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM events")
+spark_sql("window_distribution", f"SELECT event_id, ntile(4) {BY_USER}) AS q, round(percent_rank() {BY_USER}), 6) AS p, round(cume_dist() {BY_USER}), 6) AS c FROM events")
+
+# aggregates -----------------------------------------------------------------------------------------------
+
+
+@query("aggregates_basic", "SELECT event_type, round(sum(value), 4) AS s, round(avg(value), 6) AS a, min(value) AS lo, max(value) AS hi, count(*) AS n, count(DISTINCT user_id) AS u, round(stddev_pop(value), 6) AS sd, round(var_pop(value), 4) AS v, round(stddev_samp(value), 6) AS sds, round(var_samp(value), 4) AS vs, round(median(value), 6) AS med FROM events GROUP BY 1")
+def aggregates_basic(spark, sf_dir):
+    c = lambda n: call(n, F.col("value"))
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.round(c("sum"), 4).alias("s"), r6(c("avg"), "a"), c("min").alias("lo"), c("max").alias("hi"), F.count(F.lit(1)).alias("n"), call("count_distinct", F.col("user_id")).alias("u"), r6(c("stddev"), "sd"), F.round(c("variance"), 4).alias("v"), r6(c("stddev_samp"), "sds"), F.round(c("var_samp"), 4).alias("vs"), r6(c("median"), "med"))
+
+
+@query("aggregates_percentiles", "SELECT event_type, round(quantile_cont(value, 0.9), 6) AS pc, quantile_disc(value, 0.5) AS pd FROM events GROUP BY 1")
+def aggregates_percentiles(spark, sf_dir):
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6)").alias("pc"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("pd"))
+
+
+@query("aggregates_pairs", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_extendedprice), 2) AS cp, round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 2) AS i FROM lineitem GROUP BY 1")
+def aggregates_pairs(spark, sf_dir):
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r6(F.corr(q, p), "c"), F.round(F.covar_pop(q, p), 2).alias("cp"), F.round(F.regr_slope(p, q), 4).alias("sl"), F.round(F.regr_intercept(p, q), 2).alias("i"))
+
+
+@query("aggregates_ordered", "SELECT user_id, arg_min(value, (ts, event_id)) AS f, arg_max(value, (ts, event_id)) AS l, string_agg(event_type, ',' ORDER BY ts, event_id) AS types, bool_and(value > 1) AS every, bool_or(value > 99) AS some FROM events GROUP BY 1")
+def aggregates_ordered(spark, sf_dir):
+    v, t, i = F.col("value"), F.col("ts"), F.col("event_id")
+    return load(spark, sf_dir, "events").groupBy("user_id").agg(indicators.first(v, t, i).alias("f"), indicators.last(v, t, i).alias("l"), F.expr("listagg(event_type, ',') WITHIN GROUP (ORDER BY ts, event_id)").alias("types"), F.bool_and(v > 1).alias("every"), F.bool_or(v > 99).alias("some"))
+
+
+@query("aggregates_filter", "SELECT user_id % 20 AS g, count(*) FILTER (value > 50) AS n, round(sum(value) FILTER (event_type = 'click'), 4) AS s FROM events GROUP BY 1")
+def aggregates_filter(spark, sf_dir):
+    return load(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("g")).agg(F.count_if(F.col("value") > 50).alias("n"), F.round(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), 4).alias("s"))
+
+
+@query("count_distinct_exact", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem")
+def count_distinct_exact(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("supps"))
+
+
+# indicators -----------------------------------------------------------------------------------------------
+
+
+def _series(spark, sf_dir):
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(indicators.ordered(F.col("value"), F.col("ts"), F.col("event_id")).alias("xs"))
+
+
+SERIES = "WITH x AS (SELECT event_type, value, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM events)"
+
+
+@query("indicators_averages", SERIES + " SELECT event_type, round(avg(value) FILTER (back <= 20), 6) AS sma, round(sum(value * (21 - back)) FILTER (back <= 20) / 210, 6) AS wma, round(avg(value) FILTER (back <= 20) + 2 * stddev_pop(value) FILTER (back <= 20), 4) AS upper, round(avg(value) FILTER (back <= 20) - 2 * stddev_pop(value) FILTER (back <= 20), 4) AS lower FROM x GROUP BY 1")
+def indicators_averages(spark, sf_dir):
+    up, low = indicators.bollinger(F.col("xs"))
+    return _series(spark, sf_dir).select("event_type", r6(indicators.sma(F.col("xs")), "sma"), r6(indicators.wma(F.col("xs")), "wma"), F.round(up, 4).alias("upper"), F.round(low, 4).alias("lower"))
+
+
+@query("indicators_moves", SERIES + " SELECT event_type, round(avg(abs(value - prev)) FILTER (back <= 14), 6) AS atr, round(100 - 100 / (1 + sum(greatest(value - prev, 0)) FILTER (back <= 14) / sum(greatest(prev - value, 0)) FILTER (back <= 14)), 6) AS rsi, round(max((peak - value) / peak), 6) AS drawdown FROM x GROUP BY 1")
+def indicators_moves(spark, sf_dir):
+    return _series(spark, sf_dir).select("event_type", r6(indicators.atr(F.col("xs")), "atr"), r6(indicators.rsi(F.col("xs")), "rsi"), r6(indicators.drawdown(F.col("xs")), "drawdown"))
+
+
+@query("indicators_risk", SERIES + " SELECT event_type, round(stddev_samp(ln(value / prev)) * sqrt(252), 4) AS vol, round(avg(value / prev - 1) / stddev_samp(value / prev - 1) * sqrt(252), 4) AS sharpe FROM x GROUP BY 1")
+def indicators_risk(spark, sf_dir):
+    return _series(spark, sf_dir).select("event_type", F.round(indicators.realized_vol(F.col("xs")), 4).alias("vol"), F.round(indicators.sharpe(F.col("xs")), 4).alias("sharpe"))
+
+
+@query("indicators_smoothed")
+def indicators_smoothed(spark, sf_dir):
+    return _series(spark, sf_dir).select("event_type", r6(indicators.ema(F.col("xs")), "ema"), r6(indicators.macd_signal(F.col("xs")), "macd"))
+
+
+@query("trade_statistics", "WITH t AS (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END AS q, l_extendedprice AS p, l_quantity AS v, l_shipdate AS d, l_orderkey AS o, l_linenumber AS n FROM lineitem) SELECT l_returnflag, round(sum(p * v) / sum(v), 4) AS vwap, round(avg(p), 4) AS twap, round((sum(q) FILTER (q > 0) + coalesce(sum(q) FILTER (q < 0), 0)) / sum(abs(q)), 6) AS imbalance, round(sum(q) FILTER (q > 0) / sum(abs(q)), 6) AS flow, round((arg_max(p, (d, o, n)) - arg_min(p, (d, o, n))) / arg_min(p, (d, o, n)), 6) AS impact FROM t WHERE l_returnflag = 'N' GROUP BY 1")
+def trade_statistics(spark, sf_dir):
+    t = load(spark, sf_dir, "lineitem").where("l_returnflag = 'N'")
+    p, v = F.col("l_extendedprice"), F.col("l_quantity")
+    q = F.when(F.col("l_linestatus") == "O", v).otherwise(-v)
+    return t.groupBy("l_returnflag").agg(F.round(indicators.vwap(p, v), 4).alias("vwap"), F.round(F.avg(p), 4).alias("twap"), r6(indicators.order_imbalance(q), "imbalance"), r6(indicators.trade_flow(q), "flow"), r6(indicators.price_impact(p, F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")), "impact"))
+
+
+# scalar functions -----------------------------------------------------------------------------------------
+
+
+def scalars(name: str, table: str, key: str, columns: dict[str, tuple], twin: str):
+    """A query with a column per function call."""
+
+    def run(spark, sf_dir):
+        rows = load(spark, sf_dir, table)
+        return rows.select(key, *[call(f, *[F.col(a[1:]) if isinstance(a, str) and a.startswith("$") else a for a in args]).alias(c) for c, (f, *args) in columns.items()])
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT {key}, {twin} FROM {table}"
+
+
+N = "$p_name"
+scalars("scalar_strings_1", "part", "p_partkey", {"a": ("length", N), "b": ("upper", N), "c": ("lower", "$p_brand"), "d": ("substring", N, 2, 4), "e": ("concat", N, "-", "$p_brand"), "f": ("replace", N, "a", "zz"), "g": ("starts_with", N, "p"), "h": ("contains", "$p_type", "A"), "i": ("reverse", N), "j": ("left", N, 3), "k": ("right", N, 3), "l": ("lpad", N, 30, "*"), "m": ("rpad", N, 30, "*"), "n": ("position", "a", N)},
+        "length(p_name) AS a, upper(p_name) AS b, lower(p_brand) AS c, substr(p_name, 2, 4) AS d, p_name || '-' || p_brand AS e, replace(p_name, 'a', 'zz') AS f, starts_with(p_name, 'p') AS g, contains(p_type, 'A') AS h, reverse(p_name) AS i, left(p_name, 3) AS j, right(p_name, 3) AS k, lpad(p_name, 30, '*') AS l, rpad(p_name, 30, '*') AS m, instr(p_name, 'a') AS n")
+scalars("scalar_strings_2", "part", "p_partkey", {"a": ("md5", N), "b": ("sha256", N), "c": ("split_part", "$p_brand", "#", 1), "d": ("repeat", "$p_brand", 2), "e": ("translate", N, "abc", "xyz"), "f": ("regexp_match", N, "[0-9]+"), "g": ("ascii", N), "h": ("octet_length", N), "i": ("count_char", N, "a"), "j": ("is_upper", "$p_brand"), "k": ("encode", N), "l": ("quote_literal", N), "m": ("strcmp", N, "$p_brand"), "o": ("char_at", N, 2)},
+        "md5(p_name) AS a, sha256(p_name) AS b, split_part(p_brand, '#', 1) AS c, repeat(p_brand, 2) AS d, translate(p_name, 'abc', 'xyz') AS e, regexp_matches(p_name, '[0-9]+') AS f, ascii(p_name) AS g, strlen(p_name)::INT AS h, (length(p_name) - length(replace(p_name, 'a', '')))::INT AS i, p_brand = upper(p_brand) AS j, base64(p_name::BLOB) AS k, '''' || p_name || '''' AS l, CASE WHEN p_name < p_brand THEN -1 WHEN p_name = p_brand THEN 0 ELSE 1 END AS m, substr(p_name, 2, 1) AS o")
+X = "$l_extendedprice"
+scalars("scalar_math", "lineitem", "l_orderkey", {"a": ("floor", X), "b": ("ceil", X), "c": ("sign", X), "d": ("trunc", X), "e": ("clamp", X, 10000.0, 20000.0), "f": ("square", "$l_quantity"), "g": ("is_even", "$l_linenumber"), "h": ("safe_divide", X, "$l_tax"), "i": ("abs_diff", "$l_linenumber", "$l_orderkey"), "j": ("width_bucket", X, 0.0, 100000.0, 10), "k": ("gcd", "$l_orderkey", "$l_partkey"), "l": ("bit_xor", "$l_orderkey", "$l_partkey"), "m": ("mod", "$l_orderkey", 7), "n": ("bit_count", "$l_orderkey")},
+        "floor(l_extendedprice) AS a, ceil(l_extendedprice) AS b, sign(l_extendedprice)::BIGINT AS c, trunc(l_extendedprice) AS d, least(greatest(l_extendedprice, 10000), 20000) AS e, l_quantity * l_quantity AS f, l_linenumber % 2 = 0 AS g, CASE WHEN l_tax <> 0 THEN l_extendedprice / l_tax END AS h, abs(l_linenumber - l_orderkey) AS i, least(greatest(floor(l_extendedprice / 10000) + 1, 0), 11)::BIGINT AS j, gcd(l_orderkey, l_partkey) AS k, xor(l_orderkey, l_partkey) AS l, l_orderkey % 7 AS m, bit_count(l_orderkey)::INT AS n")
+D = "$ts"
+scalars("scalar_dates", "events", "event_id", {"a": ("extract_year", D), "b": ("extract_month", D), "c": ("extract_day", D), "d": ("extract_hour", D), "e": ("extract_minute", D), "f": ("extract_quarter", D), "g": ("extract_day_of_week", D), "h": ("extract_day_of_year", D), "i": ("start_of_week", D), "j": ("first_of_month", D), "k": ("epoch_micros", D), "l": ("is_weekend", D), "m": ("days_in_month_fn", D), "n": ("time_bucket", 900000000, D)},
+        "year(ts)::INT AS a, month(ts)::INT AS b, day(ts)::INT AS c, hour(ts)::INT AS d, minute(ts)::INT AS e, quarter(ts)::INT AS f, dayofweek(ts)::INT AS g, dayofyear(ts)::INT AS h, date_trunc('week', ts)::TIMESTAMP AS i, date_trunc('month', ts)::TIMESTAMP AS j, epoch_us(ts) AS k, dayofweek(ts) IN (0, 6) AS l, day(last_day(ts))::INT AS m, time_bucket(INTERVAL 15 MINUTE, ts) AS n")
+scalars("scalar_logic_json", "events", "event_id", {"a": ("coalesce", "$event_type", "x"), "b": ("nullif", "$event_type", "click"), "c": ("greatest", "$value", 50.0), "d": ("least", "$value", 50.0), "e": ("is_null", "$value"), "f": ("cast_int_to_str", "$user_id"), "g": ("eq_str_str", "$event_type", "view"), "h": ("add_long_long", "$event_id", "$user_id"), "i": ("to_number", "$event_type")},
+        "coalesce(event_type, 'x') AS a, nullif(event_type, 'click') AS b, greatest(value, 50) AS c, least(value, 50) AS d, value IS NULL AS e, user_id::VARCHAR AS f, event_type = 'view' AS g, event_id + user_id AS h, try_cast(event_type AS DOUBLE) AS i")
+
+
+@query("scalar_json", "SELECT event_id, props ->> '$.k' AS k FROM events")
+def scalar_json(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", call("json_extract", F.col("props"), "$.k").alias("k"))
+
+
+@query("scalar_arrays", "SELECT vec_id, len(embedding)::INT AS n, list_min(embedding) AS lo, list_max(embedding) AS hi, round(list_sum(embedding), 3) AS s, embedding[1:3] AS head FROM embeddings")
+def scalar_arrays(spark, sf_dir):
+    a = F.col("embedding")
+    return load(spark, sf_dir, "embeddings").select("vec_id", call("array_length", a).alias("n"), call("array_min", a).alias("lo"), call("array_max", a).alias("hi"), F.round(call("array_sum", a), 3).alias("s"), call("array_slice", a, 1, 3).alias("head"))
+
+
+@query("scalar_market", "SELECT o_orderkey, o_totalprice * 2 AS pv, CASE WHEN o_orderstatus = 'O' THEN (110 - o_totalprice) * 3 ELSE -((110 - o_totalprice) * 3) END AS pnl, o_totalprice * 0.001 * 5 AS fee, round(2 * 6371000 * asin(sqrt(pow(sin(radians(o_custkey % 60 - 10) / 2), 2) + cos(radians(10)) * cos(radians(o_custkey % 60)) * pow(sin(radians(30) / 2), 2))), 2) AS metres FROM orders")
+def scalar_market(spark, sf_dir):
+    side = F.when(F.col("o_orderstatus") == "O", "buy").otherwise("sell")
+    p = F.col("o_totalprice")
+    return load(spark, sf_dir, "orders").select("o_orderkey", call("position_value", p, 2).alias("pv"), call("unrealized_pnl", p, 110.0, 3, side).alias("pnl"), call("fee_amount", p, 0.001, 5).alias("fee"), F.round(call("st_distance", 10.0, 20.0, (F.col("o_custkey") % 60).cast("double"), 50.0), 2).alias("metres"))
+
+
+# sources, changes, books, streams, dialect ----------------------------------------------------------------
+
+
+@query("generate_series", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL 6 HOUR)) AS value")
+def generate_series(spark, sf_dir):
+    return files.generate_series(spark, "2024-01-01", "2024-01-03", "6 HOURS")
+
+
+@query("long_sequence", "SELECT unnest(range(1, 101)) AS x")
+def long_sequence(spark, sf_dir):
+    return files.long_sequence(spark, 100)
+
+
+@query("upsert", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT max(c_custkey) + 1, 0 FROM customer")
+def upsert(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    new = c.where("c_custkey % 7 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")).union(c.agg(F.max("c_custkey") + 1, F.lit(0.0)))
+    return dml.upsert(c, new, ["c_custkey"])
+
+
+@query("merge_into", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS v FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT s_suppkey + 1000000, 5 FROM supplier WHERE s_suppkey % 9 = 0")
+def merge_into(spark, sf_dir):
+    t = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    s = t.where("k % 2 = 0 OR k % 10 = 0").select("k", F.lit(1.0).alias("v")).union(t.where("k % 9 = 0").select(F.col("k") + 1000000, F.lit(5.0)))
+    return dml.merge(t, s, ["k"], {"v": F.col("t.v") + F.col("s.v")}, F.col("t.k") % 10 == 0)
+
+
+@query("update_delete", "SELECT p_partkey, CASE WHEN p_size > 40 THEN p_retailprice * 2 ELSE p_retailprice END AS p_retailprice FROM part WHERE NOT p_size < 5")
+def update_delete(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return dml.delete(dml.update(p, F.col("p_size") > 40, {"p_retailprice": F.col("p_retailprice") * 2}), F.col("p_size") < 5).drop("p_size")
+
+
+@query("dedup_keep_last", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1")
+def dedup_keep_last(spark, sf_dir):
+    return dml.dedup(load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("order_book", "WITH d AS (SELECT user_id % 20 AS sym, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, round(value, 0) + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 200 END AS price, value + 1 AS qty, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS act, event_id FROM events), l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY sym, side, price ORDER BY event_id DESC) = 1) SELECT sym, max(price) FILTER (side = 'bid') AS best_bid, min(price) FILTER (side = 'ask') AS best_ask, min(price) FILTER (side = 'ask') - max(price) FILTER (side = 'bid') AS spread FROM l WHERE act <> 'delete' GROUP BY 1")
+def order_book(spark, sf_dir):
+    e, even = load(spark, sf_dir, "events"), F.col("event_id") % 2 == 0
+    d = e.select((F.col("user_id") % 20).alias("sym"), F.when(even, "bid").otherwise("ask").alias("side"), (F.round("value", 0) + F.when(even, 0).otherwise(200)).alias("price"), (F.col("value") + 1).alias("qty"), F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("act"), "event_id")
+    return market.top_of_book(market.book_at(d, "sym", "side", "price", "qty", "event_id", "act"), "sym", "side", "price", "qty").select("sym", "best_bid", "best_ask", "spread")
+
+
+@query("tick_round_trip", "SELECT event_type, list(round(value, 2) ORDER BY ts, event_id)[:20] AS prices FROM events GROUP BY 1")
+def tick_round_trip(spark, sf_dir):
+    xs = F.slice(F.transform("xs", lambda x: F.round(x, 2)), 1, 20)
+    coded = _series(spark, sf_dir).select("event_type", market.delta_encode(xs, 0.01).alias("d"))
+    return coded.select("event_type", F.transform(market.delta_decode(F.col("d"), 0.01), lambda x: F.round(x, 2)).alias("prices"))
+
+
+@query("line_protocol", "SELECT 'events' AS measurement, event_type AS kind, value, ts FROM events")
+def line_source(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    lines = e.select(F.concat(F.lit("events,kind="), "event_type", F.lit(" value="), F.col("value").cast("string"), F.lit(" "), (timeseries.to_micros(F.col("ts")) * 1000).cast("string")).alias("value"))
+    return line_protocol.parse(lines).select("measurement", F.col("tags.kind").alias("kind"), line_protocol.number(F.col("fields.value")).alias("value"), "ts")
+
+
+@query("rollup_sliding", "SELECT w AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1")
+def rollup_sliding(spark, sf_dir):
+    return rollups.rollup(load(spark, sf_dir, "events"), "ts", "1 hour", {"n": F.count(F.lit(1))}, slide="30 minutes").select("start", "n")
+
+
+@query("session_windows", "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")
+def session_windows(spark, sf_dir):
+    return rollups.sessions(load(spark, sf_dir, "events"), "ts", "2 hours", {"n": F.count(F.lit(1))}, ["user_id"]).select("user_id", "start", "n")
+
+
+spark_sql("dialect_sample_by", "SELECT event_type, sum(event_id) AS s, count(*) AS n FROM events WHERE value > 10 SAMPLE BY 1d ALIGN TO CALENDAR", "SELECT event_type, date_trunc('day', ts) AS ts, sum(event_id)::BIGINT AS s, count(*) AS n FROM events WHERE value > 10 GROUP BY 1, 2")
+spark_sql("dialect_latest_on", "SELECT user_id, event_id FROM events WHERE value > 5 LATEST ON ts PARTITION BY user_id", "SELECT user_id, event_id FROM events WHERE value > 5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+spark_sql("dialect_explain_free", "SELECT nation.n_name, region.r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+@query("top_of_partition", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def top_of_partition(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return load(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("o_custkey", "o_orderkey")

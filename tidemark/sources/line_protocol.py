@@ -14,7 +14,7 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     part = lambda i: F.regexp_extract(line, pattern, i)
     ns = F.nullif(part(4), F.lit("")).cast("long")
     pairs = lambda text, inner: F.map_from_entries(F.transform(F.regexp_extract_all(text, F.lit(inner), F.lit(0)), lambda p: F.struct(F.substring_index(p, "=", 1), F.regexp_replace(p, r'^[^=]*="?|"$', ""))))
-    return found.select(part(1).alias("measurement"), pairs(part(2), r"[^,=\s]+=[^,\s]+").alias("tags"), pairs(part(3), r"[^,=\s]+=(?:\"[^\"]*\"|[^,\s]+)").alias("fields"), F.timestamp_micros(F.floor(ns / 1000)).cast("timestamp_ntz").alias("ts"))
+    return found.select(part(1).alias("measurement"), pairs(part(2), r"[^,=\s]+=[^,\s]+").alias("tags"), pairs(part(3), r"[^,=\s]+=(?:\"[^\"]*\"|[^,\s]+)").alias("fields"), F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))).cast("timestamp_ntz").alias("ts"))
 
 
 def number(field: Column) -> Column:
