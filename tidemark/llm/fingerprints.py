@@ -112,6 +112,7 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     text in descending key order (after the last: the first). Returns the key, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
     """
+    kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = neighbours(docs, "key", target_bytes)
     keep = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
@@ -122,19 +123,24 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows_cut = rows.withColumn("cut", cut)
     part = lambda t, a, b: F.struct(t.alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
     after = lambda c: F.expr(f"substring({c}, cut + 1, length({c}))")
-    parts = F.when(F.col("guard"), F.array(part(F.col("text"), 1, 0))).otherwise(F.array(part(F.expr("substring(text, 1, cut)"), 1, 1), part(after("text"), 1, 0), part(after("edited"), 0, 1)))
+    # what stands for the document itself travels as one more term, so that no second pass needs its text
+    note = F.concat_ws("|", F.coalesce(F.sha2("edited", 256), F.lit("")), F.length("text").cast("string"), F.col("guard").cast("string"), F.coalesce(F.hex(F.col("key").cast("string")), F.lit("-")))
+    rows_cut = rows_cut.withColumn("note", note)
+    parts = F.when(F.col("guard"), F.array(part(F.col("text"), 1, 0), part(F.col("note"), 0, 0)))
+    parts = parts.otherwise(F.array(part(F.expr("substring(text, 1, cut)"), 1, 1), part(after("text"), 1, 0), part(after("edited"), 0, 1), part(F.col("note"), 0, 0)))
     words = rows_cut.select("range", "nth", F.explode_outer(parts).alias("p")).select("range", "nth", "p.a", "p.b", F.explode_outer(F.split("p.t", WORDS)).alias("word"))
-    terms = words.where("word <> ''").select("range", "nth", F.xxhash64("word").alias("term"), "a", "b")
-    facts = terms.groupBy("range", "nth", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    noted = (F.col("a") == 0) & (F.col("b") == 0)
+    terms = words.where("word <> ''").select("range", "nth", F.xxhash64("word").alias("term"), F.when(noted, F.col("word")).alias("note"), "a", "b")
+    facts = terms.groupBy("range", "nth", "term", "note").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     term = F.col("term")
-    samples = facts.select("range", "nth", F.pmod(F.xxhash64(term, F.lit(4)), F.lit(bins)).cast("int").alias("bin"), log_sample(term, F.col("a")).alias("a"), log_sample(term, F.col("b")).alias("b"))
-    best = samples.groupBy("range", "nth", "bin").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    found = best.groupBy("range", "nth").agg(F.array_sort(F.collect_list(F.struct("bin", "a", "b"))).alias("bins"))
+    bin_of = F.when(F.col("note").isNull(), F.pmod(F.xxhash64(term, F.lit(4)), F.lit(bins)).cast("int")).otherwise(-1)
+    samples = facts.select("range", "nth", "note", bin_of.alias("bin"), log_sample(term, F.col("a")).alias("a"), log_sample(term, F.col("b")).alias("b"))
+    best = samples.groupBy("range", "nth", "bin", "note").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    found = best.groupBy("range", "nth").agg(F.array_sort(F.collect_list(F.struct("bin", "a", "b"))).alias("bins"), F.max("note").alias("note"))
     of = lambda c: F.transform(F.filter("bins", lambda x: x[c].isNotNull()), lambda x: F.struct(x["bin"].alias("bin"), x[c].alias("value")))
-    signed = found.select("range", "nth", of("a").alias("a"), of("b").alias("b")).select("range", "nth", signature("a", bins).alias("own"), signature("b", bins).alias("other"))
-    head = rows.select("range", "nth", "guard", "key", F.length("text").cast("long").alias("n_chars"), F.when(~F.col("guard"), F.sha2("edited", 256)).alias("edited_sha256"))
-    nothing = F.array().cast("array<int>")
-    out = head.join(signed, ["range", "nth"], "left").withColumns({c: F.coalesce(c, nothing) for c in ("own", "other")})
+    signed = found.select("range", "nth", F.split("note", r"\|").alias("note"), of("a").alias("a"), of("b").alias("b"))
+    fact = lambda i: F.get("note", F.lit(i))
+    out = signed.select("range", "nth", (fact(2) == "true").alias("guard"), F.when(fact(3) != "-", F.decode(F.unhex(fact(3)), "UTF-8")).cast(kind).alias("key"), fact(1).cast("long").alias("n_chars"), fact(0).alias("edited_sha256"), signature("a", bins).alias("own"), signature("b", bins).alias("other"))
     out = out.withColumn("next", F.lead("own").over(Window.partitionBy("range").orderBy("nth"))).where(~F.col("guard"))
     return out.select(
         F.col("key").alias(key),
