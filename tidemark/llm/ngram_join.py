@@ -89,7 +89,9 @@ def _profiles(gram: int, percent: int, hot):
                     late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
                     order = np.lexsort((late, doc))  # stable: by hash within
                     hashes = hashes[order]
-                length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+                once = np.zeros(len(n), bool)
+                once[np.unique(np.stack(sums, 1), axis=0, return_index=True)[1]] = True  # equal sets of a block post once
+                length = np.where((n > 0) & once, n - -(-percent * n // 100) + 1, 0)
                 place = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
                 prefix = hashes[place < length[doc]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
@@ -108,6 +110,8 @@ def _candidates(percent: int, full_run: int, hubs: int):
         h, node, n = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("h", "node", "n"))
         order = np.lexsort((mix(node.view(np.uint64)), n, h))
         h, node, n = h[order], node[order], n[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]  # one row a class, of however many blocks
+        h, node, n = h[new], node[new], n[new]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.append(first, len(h)))
         run_of = np.repeat(np.arange(len(first)), size)
@@ -242,11 +246,13 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hu
     hot = frequent.orderBy(F.desc("n"), "h").limit(hot_limit).select("h").toArrow().column("h").to_numpy().view(np.uint64)
     listed = spark.sparkContext.broadcast(np.sort(hot))
     profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, d2 long, prefix array<long>"), "profiles")
-    classes = profiles.where("n > 0").groupBy("d1", "n").agg(F.first("prefix").alias("prefix"))
-    postings = classes.select(F.explode("prefix").alias("h"), F.col("d1").alias("node"), "n").repartition("h")
+    postings = profiles.where("n > 0").select(F.explode("prefix").alias("h"), F.col("d1").alias("node"), "n").repartition("h")
     found = materialize(postings.mapInArrow(_candidates(percent, full_run, hubs), "a long, b long, h long, n long"), "candidates")
     pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "set-pairs")
-    links = _verified(docs, profiles, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
+    nodes = found.select(F.col("a").alias("d1")).union(found.where("b is not null").select(F.col("b").alias("d1"))).distinct()
+    chosen = profiles.join(nodes, "d1", "left_semi").groupBy("d1").agg(F.min("dk").alias("dk"))
+    texts = materialize(docs.select("dk", "text").join(chosen, "dk").groupBy("d1").agg(F.min("text").alias("text")), "set-texts")
+    links = _verified(texts, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
     parts = materialize(components(links), "set-components")
     label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
     across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
@@ -259,24 +265,20 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hu
     discard(found)
     discard(pairs)
     if rest.limit(1).count():
-        parts = components(links.union(_verified(docs, profiles, rest, gram, percent)))
+        parts = components(links.union(_verified(texts, rest, gram, percent)))
     discard(rest)
+    discard(texts)
     return profiles.select("id", "dk", "n", "d1"), parts
 
 
-def _verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their texts."""
-    nodes = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()
-    chosen = profiles.join(nodes, "d1", "left_semi").groupBy("d1").agg(F.min("dk").alias("dk"))
-    texts = materialize(docs.select("dk", "text").join(chosen, "dk").groupBy("d1").agg(F.min("text").alias("text")), "set-texts")
+def _verified(texts: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by the texts (d1, text) of classes."""
     hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
     members = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     members = members.join(texts.withColumnRenamed("d1", "a"), "a").select("b", "salt", "a", "text")
     own = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("d1", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     rows = members.union(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    links = materialize(rows.mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
-    discard(texts)
-    return links
+    return materialize(rows.mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
 
 
 def link_groups(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80, full_run: int = 32, hubs: int = 4, hot_limit: int = 300_000) -> DataFrame:
