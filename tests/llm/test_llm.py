@@ -101,6 +101,23 @@ def test_trie_links_equal_brute_force():
     assert list(ngram_join.trie_links(hub, members, 80)) == want and any(want) and not all(want)
 
 
+def test_histograms_keep_every_link():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 3, 30, 31, 300, 3000)]
+    for base in list(sets):
+        sets += [np.unique(np.r_[base[rnd.random(len(base)) < p], rnd.integers(0, 2**63, len(base) // q).astype(np.uint64)]) for p in (0.8, 0.9, 1.0) for q in (1, 5, 20)]
+    sets += [sets[5] & np.uint64(2**63 - 8), np.zeros(0, np.uint64)]
+    sets = [np.unique(s) for s in sets]
+    n = np.array([len(s) for s in sets])
+    bins = ngram_join.histograms(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n)
+    a, b = (x.ravel() for x in np.meshgrid(*[np.flatnonzero(n)] * 2))
+    pairs = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), bins.take(pa.array(a)), bins.take(pa.array(b)), pa.array(n[a]), pa.array(n[b])], names=["a", "b", "bins_a", "bins_b", "n_a", "n_b"])
+    got = {(x["a"], x["b"]) for out in ngram_join._within(80)([pairs]) for x in out.to_pylist()}
+    linked = {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= got and len(linked) > len(sets) and len(got) < len(a) // 2
+    assert bins.to_pylist()[-1] == b""
+
+
 @pytest.mark.parametrize("full_run", [32, 2])
 def test_ngram_join(spark, docs, rows, full_run):
     out = ngram_join.link_groups(clash(docs, "component_id", "d1", "node"), full_run=full_run, hubs=1).collect()

@@ -52,10 +52,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and its offsets from 0."""
+    """The bytes of a string (UTF-8) or binary column and its offsets from 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -6,6 +6,8 @@ only these are posted; equal sets are one class and post once.
 
 * Short postings (at most `full_run` classes) give all their pairs whose sizes allow a link. Long ones give each
   class's pairs with its neighbour and with a few hubs, and are kept.
+* Pairs whose sets must differ too much are left out by histograms of the sets' hashes, about a quarter byte an
+  n-gram: the sum of their differences is at most the size of the symmetric difference, so no link is lost.
 * Of each class's candidates one is verified first, then only those pairs whose classes are still apart. Candidates
   of a hub are salted in groups of about 500. They are verified exactly, by trie: the ordered sets of a hub's candidates are walked as a trie (rows
   in order, each starting at the depth that it shares with the one before), overlaps with the hub are counted
@@ -72,7 +74,7 @@ def _frequent(gram: int, share: float, least: int):
 
 
 def _profiles(gram: int, percent: int, hot):
-    """(id, dk, n, d1, d2, prefix): set size, digests of the set and its first n-grams in the global order."""
+    """(id, dk, n, d1, d2, prefix, bins): set size, digests of the set, its first n-grams in the global order and its histogram."""
 
     def run(batches):
         frequent = hot.value
@@ -95,7 +97,46 @@ def _profiles(gram: int, percent: int, hot):
                 place = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
                 prefix = hashes[place < length[doc]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dk"), pa.array(n), *map(pa.array, sums), lists], names=["id", "dk", "n", "d1", "d2", "prefix"])
+                bins = histograms(hashes, doc, np.where(once, n, 0), mask=np.repeat(once, n))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dk"), pa.array(n), *map(pa.array, sums), lists, bins], names=["id", "dk", "n", "d1", "d2", "prefix", "bins"])
+
+    return run
+
+
+def histograms(hashes: np.ndarray, doc: np.ndarray, n: np.ndarray, mask=None, load: int = 4) -> pa.Array:
+    """Each set's n-grams counted by the low bits of their hashes, a byte a bin, in 2**k bins of at most `load` on average.
+
+    Sets of n = 0 have none. Counts over 255 stay at 255. A histogram's halves add up to that of half as many bins, and
+    the sum of differences of two is at most the size of the sets' symmetric difference.
+    """
+    width = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(n / load, 8))).astype(np.int64), 0)
+    offsets = np.concatenate([[0], np.cumsum(width)])
+    if mask is not None:
+        hashes, doc = hashes[mask], doc[mask]
+    place = offsets[doc] + (hashes & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=offsets[-1]), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(counts)])
+
+
+def _within(percent: int):
+    """Pairs (a, b) whose histograms allow a link: with a symmetric difference of d, 100 (n + m - d) >= percent (n + m + d)."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, "bins_a", 1 << 20):
+                both = [text_buffer(batch.column(c)) for c in ("bins_a", "bins_b")]
+                sizes = [np.diff(offsets) for _, offsets in both]
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                keep = np.zeros(batch.num_rows, bool)
+                for w, v in np.unique(np.stack(sizes, 1), axis=0):
+                    rows = np.flatnonzero((sizes[0] == w) & (sizes[1] == v))
+                    least = min(w, v)
+                    for at in range(0, len(rows), max(1, (1 << 20) // max(w, v))):
+                        own = rows[at : at + max(1, (1 << 20) // max(w, v))]
+                        left, right = (buf[offsets[own][:, None] + np.arange(k)].reshape(len(own), -1, least).sum(1, dtype=np.int32) for (buf, offsets), k in zip(both, (w, v), strict=True))
+                        apart = np.abs(left - right).sum(1)
+                        keep[own] = 100 * (total[own] - apart) >= percent * (total[own] + apart)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -245,14 +286,11 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hu
     frequent = docs.mapInArrow(_frequent(gram, 0.0025, 6), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     hot = frequent.orderBy(F.desc("n"), "h").limit(hot_limit).select("h").toArrow().column("h").to_numpy().view(np.uint64)
     listed = spark.sparkContext.broadcast(np.sort(hot))
-    profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, d2 long, prefix array<long>"), "profiles")
+    profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, d2 long, prefix array<long>, bins binary"), "profiles")
     postings = profiles.where("n > 0").select(F.explode("prefix").alias("h"), F.col("d1").alias("node"), "n").repartition("h")
     found = materialize(postings.mapInArrow(_candidates(percent, full_run, hubs), "a long, b long, h long, n long"), "candidates")
-    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "set-pairs")
-    nodes = found.select(F.col("a").alias("d1")).union(found.where("b is not null").select(F.col("b").alias("d1"))).distinct()
-    chosen = profiles.join(nodes, "d1", "left_semi").groupBy("d1").agg(F.min("dk").alias("dk"))
-    texts = materialize(docs.select("dk", "text").join(chosen, "dk").groupBy("d1").agg(F.min("text").alias("text")), "set-texts")
-    links = _verified(texts, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
+    pairs = _near(profiles, found.where("b is not null").select("a", "b").distinct(), percent)
+    links = _verified(docs, profiles, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
     parts = materialize(components(links), "set-components")
     label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
     across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
@@ -261,24 +299,38 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hu
     placed = long.join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     crossing = placed.join(mixed, "h").select("h", "node", "n", "component").repartition("h").mapInArrow(_crossing(percent), "a long, b long")
+    crossing = _near(profiles, crossing.distinct(), percent)
     rest = materialize(rest.union(crossing).distinct(), "set-pairs")
-    discard(found)
-    discard(pairs)
+    for table in (found, pairs, crossing):
+        discard(table)
     if rest.limit(1).count():
-        parts = components(links.union(_verified(texts, rest, gram, percent)))
+        parts = components(links.union(_verified(docs, profiles, rest, gram, percent)))
     discard(rest)
-    discard(texts)
     return profiles.select("id", "dk", "n", "d1"), parts
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by the texts (d1, text) of classes."""
+def _near(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose histograms allow a link: none that links is lost."""
+    bins = profiles.where("length(bins) > 0").groupBy("d1").agg(F.first("bins").alias("bins"), F.first("n").alias("n"))
+    side = lambda c: bins.select(F.col("d1").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n_{c}"))
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within(percent), "a long, b long"), "set-pairs")
+
+
+def _verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, each class by the text of one of its documents."""
+    pairs = materialize(pairs, "verify-pairs")
+    nodes = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()
+    chosen = materialize(profiles.join(nodes, "d1", "left_semi").groupBy("d1").agg(F.min("dk").alias("dk")), "chosen")
+    texts = materialize(docs.select("dk", "text").join(chosen, "dk").groupBy("d1").agg(F.min("text").alias("text")), "set-texts")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
     members = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     members = members.join(texts.withColumnRenamed("d1", "a"), "a").select("b", "salt", "a", "text")
     own = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("d1", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     rows = members.union(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return materialize(rows.mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
+    links = materialize(rows.mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
+    for table in (pairs, chosen, texts):
+        discard(table)
+    return links
 
 
 def link_groups(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80, full_run: int = 32, hubs: int = 4, hot_limit: int = 300_000) -> DataFrame:
