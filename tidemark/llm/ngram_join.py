@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join with prefix postings and tries, and the groups it links.
 
-Texts are sets of word n-grams in one global order: n-grams frequent within blocks last, else by hash. Two sets
+Texts are sets of word n-grams in one global order: n-grams that repeat within blocks last, by the order of magnitude
+of their number of texts, else by hash. Two sets
 of which 100 * intersection >= percent * union share one of their first n - ceil(percent * n / 100) + 1 n-grams, so
 only these are posted; equal sets are one class and post once.
 
@@ -12,8 +13,9 @@ only these are posted; equal sets are one class and post once.
   of a hub are salted in groups of about 500. They are verified exactly, by trie: the ordered sets of a hub's candidates are walked as a trie (rows
   in order, each starting at the depth that it shares with the one before), overlaps with the hub are counted
   once per shared branch, and a branch is pruned where the n-grams left can't reach the overlap needed.
-* Verified links and classes are united by distributed union-find. Kept postings then give every pair that is
-  still in different components, and these are verified and united too. A pair in one component already needs no
+* Verified links and classes are united by distributed union-find. Kept postings then give each class some
+  partners in other components, and after these are united, every pair that is still in different components, and these are
+  verified and united too. A pair in one component already needs no
   test, so no link between different texts is lost and no group emits all its pairs.
 
 The list of frequent n-grams is bounded: at most `hot_limit` are collected, and any list gives a valid order, so
@@ -57,18 +59,23 @@ def gram_sets(part: pa.RecordBatch, gram: int, column: str = "text"):
     return hashes[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
-def _frequent(gram: int, share: float, least: int):
-    """N-grams in at least this share of a block's texts, with the number of texts."""
+def _frequent(gram: int):
+    """N-grams that two texts of a block or more have, with the number of texts in such blocks of a partition."""
 
     def run(batches):
+        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in chunks(batch, most=8 << 20):
-                hashes, offsets = gram_sets(part, gram)
-                hashes = np.sort(hashes)
+            for part in chunks(batch, most=4 << 20):
+                hashes = np.sort(gram_sets(part, gram)[0])
                 first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
                 size = np.diff(np.append(first, len(hashes)))
-                keep = size >= max(least, share * part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first[keep]].view(np.int64)), pa.array(size[keep])], names=["h", "n"])
+                again = size > 1
+                h, n = np.concatenate([h, hashes[first[again]]]), np.concatenate([n, size[again]])
+                if len(h) > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                    h, n = h[:0], n[:0]
+        h, at = np.unique(h, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, n, len(h)).astype(np.int64))], names=["h", "n"])
 
     return run
 
@@ -77,7 +84,7 @@ def _profiles(gram: int, percent: int, hot):
     """(id, dk, n, d1, d2, prefix, bins): set size, digests of the set, its first n-grams in the global order and its histogram."""
 
     def run(batches):
-        frequent = hot.value
+        frequent, rank = hot.value
         for batch in batches:
             for part in chunks(batch):
                 hashes, offsets = gram_sets(part, gram)
@@ -88,8 +95,8 @@ def _profiles(gram: int, percent: int, hot):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(seed * 0x1234567)))])
                     sums.append(mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)).view(np.int64))
                 if len(frequent) and len(hashes):
-                    late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-                    order = np.lexsort((late, doc))  # stable: by hash within
+                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                    order = np.lexsort((np.where(frequent[at] == hashes, rank[at], 0), doc))  # stable: by hash within
                     hashes = hashes[order]
                 once = np.zeros(len(n), bool)
                 once[np.unique(np.stack(sums, 1), axis=0, return_index=True)[1]] = True  # equal sets of a block post once
@@ -243,8 +250,11 @@ def _verify(gram: int, percent: int):
     return run
 
 
-def _crossing(percent: int, block: int = 1 << 20):
-    """From long postings (h, node, n, component) of a partition: all pairs of different components whose sizes allow a link."""
+def _crossing(percent: int, reach: int | None, block: int = 1 << 18):
+    """From long postings (h, node, n, component) of a partition: pairs of different components whose sizes allow a link.
+
+    All of them, or, given `reach`, at most so many of each class, spread over the posting.
+    """
 
     def run(batches):
         rows = [b for b in batches if b.num_rows]
@@ -268,10 +278,12 @@ def _crossing(percent: int, block: int = 1 << 20):
                 start = edges[np.searchsorted(edges, e) - 1]
                 for i in range(start, e):  # each class of a component against all later components
                     fit = np.flatnonzero((100 * np.minimum(n[i], n[e:hi]) >= percent * np.maximum(n[i], n[e:hi])))
+                    if reach and len(fit) > reach:
+                        fit = fit[(len(fit) * (2 * np.arange(reach) + 1)) // (2 * reach)]
                     if len(fit):
                         found.append(np.stack([np.full(len(fit), node[i]), node[e + fit]], 1))
                         held += len(fit)
-                    if held > block:
+                    if held > block or len(found) > 20_000:
                         yield from out()
                         found, held = [], 0
         if found:
@@ -283,29 +295,32 @@ def _crossing(percent: int, block: int = 1 << 20):
 def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hubs: int, hot_limit: int) -> tuple[DataFrame, DataFrame]:
     """Profiles (id, dk, n, d1) of all of (id, dk, text), and (node, component) of classes d1 that have links."""
     spark = docs.sparkSession
-    frequent = docs.mapInArrow(_frequent(gram, 0.0025, 6), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    hot = frequent.orderBy(F.desc("n"), "h").limit(hot_limit).select("h").toArrow().column("h").to_numpy().view(np.uint64)
-    listed = spark.sparkContext.broadcast(np.sort(hot))
+    frequent = docs.mapInArrow(_frequent(gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > full_run)
+    hot = frequent.orderBy(F.desc("n"), "h").limit(hot_limit).toArrow()
+    h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
+    order = np.argsort(h)
+    listed = spark.sparkContext.broadcast((h[order], (1 + np.log2(np.maximum(n, 1)[order])).astype(np.int8)))
     profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, d2 long, prefix array<long>, bins binary"), "profiles")
     postings = profiles.where("n > 0").select(F.explode("prefix").alias("h"), F.col("d1").alias("node"), "n").repartition("h")
     found = materialize(postings.mapInArrow(_candidates(percent, full_run, hubs), "a long, b long, h long, n long"), "candidates")
     pairs = _near(profiles, found.where("b is not null").select("a", "b").distinct(), percent)
     links = _verified(docs, profiles, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
     parts = materialize(components(links), "set-components")
-    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
-    across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = across.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
     long = found.where("b is null").select(F.col("a").alias("node"), "h", "n")
-    placed = long.join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    crossing = placed.join(mixed, "h").select("h", "node", "n", "component").repartition("h").mapInArrow(_crossing(percent), "a long, b long")
-    crossing = _near(profiles, crossing.distinct(), percent)
-    rest = materialize(rest.union(crossing).distinct(), "set-pairs")
-    for table in (found, pairs, crossing):
-        discard(table)
-    if rest.limit(1).count():
-        parts = components(links.union(_verified(docs, profiles, rest, gram, percent)))
-    discard(rest)
+    for reach in (2 * hubs, None):
+        placed = long.join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+        crossing = placed.join(mixed, "h").select("h", "node", "n", "component").repartition("h").mapInArrow(_crossing(percent, reach), "a long, b long")
+        rest = _near(profiles, crossing.distinct(), percent)
+        if reach is None:
+            label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+            across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+            rest = rest.union(across.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")).distinct()
+        if rest.limit(1).count():
+            links = links.union(_verified(docs, profiles, rest, gram, percent))
+            parts = materialize(components(links), "set-components")
+    discard(found)
+    discard(pairs)
     return profiles.select("id", "dk", "n", "d1"), parts
 
 
