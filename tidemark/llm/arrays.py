@@ -99,7 +99,10 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand."""
     up, down = POWERS.get(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
+    part = total[1:]  # one array of eight bytes a byte of text, not three
+    np.take(_BYTE, buf, out=part, mode="clip")
+    part *= up[: len(buf)]
+    np.cumsum(part, out=part)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

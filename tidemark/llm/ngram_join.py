@@ -65,7 +65,7 @@ def _frequent(gram: int):
     def run(batches):
         h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in chunks(batch, most=4 << 20):
+            for part in chunks(batch):
                 hashes = np.sort(gram_sets(part, gram)[0])
                 first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
                 size = np.diff(np.append(first, len(hashes)))
@@ -86,7 +86,7 @@ def _profiles(gram: int, percent: int, hot):
     def run(batches):
         frequent, rank = hot.value
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=1 << 20):
                 hashes, offsets = gram_sets(part, gram)
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(len(n)), n)
