@@ -180,6 +180,26 @@ def test_line_links_equal_brute_force(spark):
     assert kept == set(part.values())
 
 
+@pytest.mark.parametrize("parts, side", [(1, 256), (5, 256), (5, 7)])
+def test_line_links_of_wide_buckets(spark, parts, side):
+    """Overlapping cuts and templated lines: buckets hold many lines, most pairs of them without a link."""
+    rnd = random.Random(4)
+    lines = []
+    for _ in range(6):
+        base = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+        lines += [f"|{base[i : i + 150]}|" for i in range(0, 700, 14)]
+    stem = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    for _ in range(25):
+        tail = "".join(rnd.choice("abcdefgh ") for _ in range(55))
+        lines += [f"|{stem}{tail}|", f"|{stem}{tail[:30]}{rnd.choice('xyz')}|"]
+    rnd.shuffle(lines)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(parts)
+    grams = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    part = groups(range(len(lines)), [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])])
+    kept = {r.doc_id for r in line_dedup.dedup_lines(df, side=side).collect() if r.n_removed == 0}
+    assert kept == set(part.values())
+
+
 def test_fingerprints(spark, rows):
     given = [r[:2] for r in rows if r[0] is not None and r[0] != 95]
     df = spark.createDataFrame(given, "doc_id long, text string")
