@@ -288,6 +288,14 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 300, 1500])
+def test_licenses_in_long_paragraphs(n):
+    filler = "\n".join(f"word{i} stands here with some others" for i in range(n))
+    isc = licenses.TEMPLATES["ISC"][0].replace(" and/or ", "\nand/or ").replace(" granted, ", " granted,\n")
+    found = licenses.Scanner(0.3, 0.85, 6).scan(f"{filler}\n{isc}\n{filler}".strip())
+    assert "ISC" in {b["license"] for b in found}
+
+
 def test_media(spark, docs, rows):
     out = media.features(media.store(clash(docs, "media", "video"))).collect()
     want = Counter()

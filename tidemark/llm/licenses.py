@@ -1,6 +1,7 @@
 """Licence scans by conditional compression.
 
-Candidate blocks are sentences and paragraphs with a licence word. Each distinct block is compressed by
+Candidate blocks are sentences and paragraphs with a licence word; of paragraphs over LONG characters, overlapping
+windows around all licence words, each with room for the longest template on both sides. Each distinct block is compressed by
 zstandard alone and with every template as raw dictionary; templates are ranked by the share of the block's
 size that they save. The best ones are then confirmed by their exact wording: words of the template and of
 the block are aligned, and a template holds if at least `agree` of its words stand in the block in order and no
@@ -63,6 +64,9 @@ TEMPLATES: dict[str, list[str]] = {
 TELLING = frozenset("not no mit apache gnu bsd lesser affero general public cc cc0 by nc nd sa sharealike noncommercial noderivatives attribution mozilla isc neither 2 3 4 1 0 v version clause domain reserved unencumbered redistribution".split())
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|permission (is hereby|to use)|redistribut|public domain|\bcc[ -](by|0)|\bcc0\b|rights reserved|unencumbered|endorse or promote"
 WORD = re.compile(r"[^\W_]+")
+#: Paragraphs of more characters are judged in windows; a window has REACH characters around a licence word.
+LONG = 4000
+REACH = 3 * max(len(text) for wordings in TEMPLATES.values() for text in wordings) // 2
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s]))+[.!?:]*")
 
 
@@ -70,14 +74,26 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def windows(text: str, lo: int, hi: int, trigger: re.Pattern) -> list[tuple[int, int]]:
+    """(start, end) of windows of text[lo:hi]; each notice of up to REACH characters with a trigger lies in one."""
+    out, done = [], -1
+    for m in trigger.finditer(text, lo, hi):
+        if m.end() > done:
+            out.append((max(lo, m.start() - REACH), min(hi, m.end() + 2 * REACH)))
+            done = m.end() + REACH
+    return out
+
+
 def blocks(text: str, trigger: re.Pattern) -> list[tuple[int, str]]:
     """(start, block) of candidate blocks: paragraphs with a trigger and, where they differ, their sentences with one."""
     out = []
     for m in re.finditer(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*", text):
         if not trigger.search(m.group()):
             continue
-        if len(m.group()) <= 4000:
+        if len(m.group()) <= LONG:
             out.append((m.start(), m.group()))
+        else:
+            out += [(a, text[a:b]) for a, b in windows(text, m.start(), m.end(), trigger)]
         for line in _SENTENCE.finditer(m.group()):
             if trigger.search(line.group()) and line.group() != m.group():
                 own = line.group()
