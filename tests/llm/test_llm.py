@@ -296,6 +296,16 @@ def test_licenses_in_long_paragraphs(n):
     assert "ISC" in {b["license"] for b in found}
 
 
+def test_licenses_over_line_feeds():
+    scanner, mit = licenses.Scanner(0.3, 0.85, 6), licenses.TEMPLATES["MIT"][2]
+    named = lambda text: {b["license"] for b in scanner.scan(text)} - {None}
+    assert named(mit.replace("conditions: ", "conditions:\n\n")) == {"MIT"}
+    wrapped = "Notes on the text.\nThis work is licensed under the GNU General Public\nLicense, version 2.\nMore words follow here."
+    assert named(wrapped) == {"GPL-2.0"}
+    assert named("Dedicated to the public\ndomain under CC0 1.0 Universal.") == {"CC0-1.0"}
+    assert named("Some words.\nReleased under\nthe MIT License.\nOther words.") == {"MIT"}
+
+
 def test_media(spark, docs, rows):
     out = media.features(media.store(clash(docs, "media", "video"))).collect()
     want = Counter()

@@ -1,7 +1,9 @@
 """Licence scans by conditional compression.
 
 Candidate blocks are sentences and paragraphs with a licence word; of paragraphs over LONG characters, overlapping
-windows around all licence words, each with room for the longest template on both sides. Each distinct block is compressed by
+windows around all licence words, each with room for the longest template on both sides. Sentences end at line
+feeds, and are judged once more as they run on over them, with spaces for line feeds. Windows that run on over
+blank lines are judged as well, and count where they name a licence that no block inside them names. Each distinct block is compressed by
 zstandard alone and with every template as raw dictionary; templates are ranked by the share of the block's
 size that they save. The best ones are then confirmed by their exact wording: words of the template and of
 the block are aligned, and a template holds if at least `agree` of its words stand in the block in order and no
@@ -68,6 +70,8 @@ WORD = re.compile(r"[^\W_]+")
 LONG = 4000
 REACH = 3 * max(len(text) for wordings in TEMPLATES.values() for text in wordings) // 2
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s]))+[.!?:]*")
+_WRAPPED = re.compile(r"(?:[^.!?]|[.!?](?=[^\s]))+[.!?:]*")
+_BLANK = re.compile(r"\n\s*\n")
 
 
 def words(text: str) -> list[str]:
@@ -77,30 +81,42 @@ def words(text: str) -> list[str]:
 def windows(text: str, lo: int, hi: int, trigger: re.Pattern) -> list[tuple[int, int]]:
     """(start, end) of windows of text[lo:hi]; each notice of up to REACH characters with a trigger lies in one."""
     out, done = [], -1
-    for m in trigger.finditer(text, lo, hi):
+    for m in trigger.finditer(text.replace("\n", " "), lo, hi):
         if m.end() > done:
             out.append((max(lo, m.start() - REACH), min(hi, m.end() + 2 * REACH)))
             done = m.end() + REACH
     return out
 
 
-def blocks(text: str, trigger: re.Pattern) -> list[tuple[int, str]]:
-    """(start, block) of candidate blocks: paragraphs with a trigger and, where they differ, their sentences with one."""
+def blocks(text: str, trigger: re.Pattern) -> list[tuple[int, int, str]]:
+    """(start, length, wording) of candidate blocks: paragraphs with a trigger, or windows of long ones, and, where they
+    differ, their sentences with one, of single lines and as they run on over line feeds."""
     out = []
     for m in re.finditer(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*", text):
-        if not trigger.search(m.group()):
+        if not trigger.search(m.group().replace("\n", " ")):
             continue
         if len(m.group()) <= LONG:
-            out.append((m.start(), m.group()))
+            out.append((m.start(), len(m.group()), m.group()))
         else:
-            out += [(a, text[a:b]) for a, b in windows(text, m.start(), m.end(), trigger)]
-        for line in _SENTENCE.finditer(m.group()):
-            if trigger.search(line.group()) and line.group() != m.group():
-                own = line.group()
-                out.append((m.start() + line.start() + len(own) - len(own.lstrip()), own.strip()))
+            out += [(a, b - a, text[a:b]) for a, b in windows(text, m.start(), m.end(), trigger)]
+        for kind in (_SENTENCE, _WRAPPED):
+            for line in kind.finditer(m.group()):
+                own = line.group().strip()
+                if kind is _WRAPPED and "\n" not in own:
+                    continue
+                flat = " ".join(own.split("\n"))
+                if trigger.search(flat) and (line.group() != m.group() or kind is _WRAPPED):
+                    out.append((m.start() + line.start() + len(line.group()) - len(line.group().lstrip()), len(own), flat))
     return out
 
 
+def run_ons(text: str, trigger: re.Pattern) -> list[tuple[int, int, str]]:
+    """(start, length, wording) of windows of the whole text that hold a blank line."""
+    if not _BLANK.search(text):
+        return []
+    return [(a, b - a, text[a:b]) for a, b in windows(text, 0, len(text), trigger) if _BLANK.search(text, a, b)]
+
+
 class Scanner:
     """Compressors with templates as dictionaries, and results of distinct blocks (at most `most` are kept)."""
 
@@ -151,16 +167,28 @@ class Scanner:
                 best = (key, (name, int(saved), len(difference), difference))
         return best[1] if best else None
 
+    def found(self, block: str) -> tuple | None:
+        if block not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[block] = self.judge(block)
+        return self.known[block]
+
     def scan(self, text: str) -> list[dict]:
         out = []
-        for start, block in blocks(text, self.trigger):
-            if block not in self.known:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[block] = self.judge(block)
-            found = self.known[block]
+        for start, length, block in blocks(text, self.trigger):
+            found = self.found(block)
+            if "\n" in text[start : start + length] and "\n" not in block:  # a wrapped sentence: counts where it adds a licence
+                inside = {b["license"] for b in out if b["start"] < start + length and start < b["start"] + b["length"]}
+                if not found or found[0] in inside:
+                    continue
             name, saved, n, difference = found or (None, 0, 0, [])
-            out.append({"start": start, "length": len(block), "license": name, "saved": saved, "n_differences": n, "differences": difference})
+            out.append({"start": start, "length": length, "license": name, "saved": saved, "n_differences": n, "differences": difference})
+        for start, length, block in run_ons(text, self.trigger):
+            found = self.found(block)
+            inside = {b["license"] for b in out if b["start"] < start + length and start < b["start"] + b["length"]}
+            if found and found[0] not in inside:
+                out.append({"start": start, "length": length, "license": found[0], "saved": found[1], "n_differences": found[2], "differences": found[3]})
         return out
 
 
@@ -179,7 +207,8 @@ def scan(df: DataFrame, text: str = "text", out: str = "blocks", save: float = 0
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 column = part.column(text)
-                hit = pc.fill_null(pc.match_substring_regex(column, TRIGGER), False).to_numpy(zero_copy_only=False)
+                flat = pc.replace_substring(column, "\n", " ")
+                hit = pc.fill_null(pc.match_substring_regex(flat, TRIGGER), False).to_numpy(zero_copy_only=False)
                 found: list[list] = [[] for _ in range(part.num_rows)]
                 for i in np.flatnonzero(hit):
                     found[i] = scanner.scan(column[int(i)].as_py())
