@@ -6,7 +6,7 @@ last one is filled up with zeros and the payload's length is kept in a `plen` ch
 
 The Huffman table gives the category of a difference of s extra bits a code of 9 - s bits (9 for s = 0, which
 leaves the code of all ones unused), so each sample takes 9 bits and whole frames are coded and decoded as
-arrays. The reader takes any table of this shape; it finds frames by the index, and by walking the `movi`
+arrays. The reader takes the writer's own Huffman table only; it finds frames by the index, and by walking the `movi`
 list where there is no index.
 
 Shots: a cut stands before frame i where the grey histograms of frames i - 1 and i differ (half the L1
