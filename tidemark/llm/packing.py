@@ -9,15 +9,19 @@ sequences when a partition ends is cut anew into full sequences and, for the res
 are powers of two, which need no padding: padding is nil unless another limit than tokens binds.
 
 Packing streams over each input partition without a shuffle, with `open_bins` sequences in memory. Ids are
-(partition << 33) + a running number, so a retried task gives the same rows for the same input split.
+(partition << 33) + a running number: a retried task gives the same rows for the same input split, another split
+gives other sequences.
 
-Defined results: a null or empty text has the end id alone; tied choices take the sequence opened first;
+Defined results: a null or empty text has the end id alone; the string of an added token in a text has that token's
+id, as the library gives it; very long texts are cut into full sequences; tied choices take the sequence opened first;
 repeated rows are packed as often as they occur; an empty table gives no rows; of other columns only the id
 column is kept; a null id stays null.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +39,12 @@ class WordTokenizer:
     _made: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)).encode("utf-8")) if added else None
         self.memo = Memo(word_encoder(path))
 
     @classmethod
@@ -44,6 +54,19 @@ class WordTokenizer:
         return cls._made[path]
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray):
+        """Ids of all texts and their offsets; texts with an added token's string are encoded as a whole."""
+        data = buf.tobytes()
+        if self.special is None or not self.special.search(data):
+            return self._by_words(buf, offsets)
+        parts = []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if self.special.search(data, a, b):
+                parts.append(np.array(self.tokenizer.encode(data[a:b].decode("utf-8"), add_special_tokens=False).ids, np.uint32))
+            else:
+                parts.append(self._by_words(buf[a:b], np.array([0, b - a]))[0])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _by_words(self, buf: np.ndarray, offsets: np.ndarray):
         starts, ends = cut_words(buf, offsets) if len(buf) else (offsets[:0], offsets[:0])
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

@@ -50,13 +50,13 @@ def by_marks(counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def word_encoder(path: str, block: int = 4000):
     """encode_many for a tokenizers file that drops white space and marks the last id of each of its own words.
 
-    Many strings are encoded a call. Those of letters alone are one word, those of ASCII digits one a digit,
-    so the marks tell the strings apart; others are told apart by the offsets of their ids.
+    Many strings are encoded a call. Those of ASCII letters alone are one word, those of ASCII digits one a digit,
+    so the marks tell the strings apart; all others, whose normal form may have other word borders than they
+    themselves (a capital I with a dot becomes two words), are told apart by the offsets of their ids.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
     marks = np.zeros(tokenizer.get_vocab_size(), bool)
     marks[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -73,7 +73,7 @@ def word_encoder(path: str, block: int = 4000):
 
     def encode_many(strings: list[bytes]):
         words = [s.decode("utf-8") for s in strings]
-        counts = np.array([1 if w.isalpha() else len(w) if w.isascii() and w.isdigit() else 0 for w in words])
+        counts = np.array([0 if not w.isascii() else 1 if w.isalpha() else len(w) if w.isdigit() else 0 for w in words])
         parts, lengths, order = [], np.zeros(len(words), np.int64), []
         for kind in (np.flatnonzero(counts), np.flatnonzero(counts == 0)):
             for at in range(0, len(kind), block):
