@@ -93,12 +93,19 @@ def test_pair_counts():
     assert [list(g) for g in got] == [[len(s) for s, _ in sets], [len(t) for _, t in sets], [len(s & t) for s, t in sets]]
 
 
-def test_trie_links_equal_brute_force():
+@pytest.mark.parametrize("room", [1, 1 << 25])
+def test_trie_links_equal_brute_force(room):
     rnd = np.random.default_rng(2)
     hub = np.unique(rnd.integers(0, 400, 200).astype(np.uint64))
-    members = [np.unique(np.r_[hub[rnd.random(len(hub)) < p], rnd.integers(0, 9999, k).astype(np.uint64)]) for p in (0.5, 0.8, 0.9, 1.0) for k in (0, 5, 30) for _ in range(6)] + [hub]
-    want = [100 * len(np.intersect1d(hub, m)) >= 80 * len(np.union1d(hub, m)) for m in members]
-    assert list(ngram_join.trie_links(hub, members, 80)) == want and any(want) and not all(want)
+    sets = [np.unique(np.r_[hub[rnd.random(len(hub)) < p], rnd.integers(0, 9999, k).astype(np.uint64)]) for p in (0.5, 0.8, 0.9, 1.0) for k in (0, 5, 30) for _ in range(6)]
+    sets += [hub, hub.copy(), hub[:1], hub[:2], np.array([77777], np.uint64), np.unique(rnd.integers(0, 9999, 900).astype(np.uint64))]
+    link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if link(sets[i], sets[j])}
+    got = [tuple(sorted(p, reverse=True)) for p in ngram_join.trie_links(sets, None, 80, room).tolist()]
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < 2000
+    left, right = sets[::2], sets[1::2]
+    got = ngram_join.trie_links(left, right, 80, room).tolist()
+    assert sorted(map(tuple, got)) == [(i, j) for i in range(len(left)) for j in range(len(right)) if link(left[i], right[j])]
 
 
 def test_histograms_keep_every_link():
@@ -118,9 +125,12 @@ def test_histograms_keep_every_link():
     assert bins.to_pylist()[-1] == b""
 
 
-@pytest.mark.parametrize("full_run", [32, 2])
-def test_ngram_join(spark, docs, rows, full_run):
-    out = ngram_join.link_groups(clash(docs, "component_id", "d1", "node"), full_run=full_run, hubs=1).collect()
+CLASHING = ("dk", "id", "node", "n", "d1", "h", "line", "key", "_kept", "_cut", "_copy", "_lang", "_score", "DK", "text_", "part", "component", "anchor", "words", "term", "bin")
+
+
+@pytest.mark.parametrize("full_run, side", [(8, 256), (2, 3)])
+def test_ngram_join(spark, docs, rows, full_run, side):
+    out = ngram_join.link_groups(clash(docs, "component_id", *CLASHING), full_run=full_run, side=side).collect()
     sets = [shingles(r[1]) for r in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     part = groups(range(len(rows)), links)
@@ -133,6 +143,23 @@ def test_ngram_join(spark, docs, rows, full_run):
     assert ngram_join.link_groups(empty(spark)).count() == 0
 
 
+def test_ngram_join_of_a_large_family(spark):
+    """400 near copies of one text, few of which link directly with the others: all links found, as brute force does."""
+    rnd = random.Random(8)
+    base, rows = words(rnd, 90, 9999), []
+    for i in range(400):
+        own = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            own[rnd.randrange(len(own))] = f"e{rnd.randrange(99999)}"
+        rows.append((i, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    part = groups(range(400), [(i, j) for i in range(400) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    assert 1 < len(set(part.values())) < 300
+    for side in (256, 60):
+        out = ngram_join.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), side=side).collect()
+        assert {r.doc_id: r.component_id for r in out} == part
+
+
 @pytest.mark.parametrize("limit", [20_000, 1])
 def test_repeats(spark, docs, rows, limit):
     out = repeats.remove_repeats(clash(docs, "n_words", "runs", "dk2"), group_limit=limit).collect()
@@ -159,7 +186,7 @@ def test_repeats(spark, docs, rows, limit):
 def test_line_dedup(spark, rows):
     line = "the quick brown fox jumps over the lazy dog and runs far away from here today"
     given = [(1, f"{line}\n\nalpha beta gamma"), (2, f"  {line}!\nAlpha beta gamma delta epsilon"), (3, None), (4, ""), (5, "ab\nab\n\n"), (6, "ab"), (None, line), (7, "nothing like any other line in this small table\n" + line + " x")]
-    df = clash(spark.createDataFrame(given, "doc_id long, text string"), "n_lines", "line")
+    df = clash(spark.createDataFrame(given, "doc_id long, text string"), "n_lines", *CLASHING)
     out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect()}
     assert out[1] == (given[0][1], 3, 0)
     assert out[2] == ("Alpha beta gamma delta epsilon", 2, 1)
@@ -200,6 +227,37 @@ def test_line_links_of_wide_buckets(spark, parts, side):
     assert kept == set(part.values())
 
 
+def test_line_links_of_a_large_family(spark):
+    """400 near copies of one line with two edits or so, in many documents: all links of pairs that share a band."""
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(200))
+    lines = []
+    for _ in range(400):
+        own = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            own[rnd.randrange(len(own))] = rnd.choice("XYZ")
+        lines.append("|" + "".join(own) + "|")
+    grams = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    part = groups(range(400), [(i, j) for i in range(400) for j in range(i) if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    for side in (256, 50):
+        kept = {r.doc_id for r in line_dedup.dedup_lines(df, side=side).collect() if r.n_removed == 0}
+        assert kept == set(part.values())
+    assert 1 < len(set(part.values())) < 300
+
+
+def test_lines_met_before():
+    """The bounded table of lines met forgets some, but never takes a new line, or one at a smaller id, for a known one."""
+    rnd = np.random.default_rng(1)
+    seen, least = line_dedup.Seen(bits=3), {}
+    for _ in range(200):
+        lines = np.unique(rnd.integers(-20, 20, 8))
+        ids = rnd.integers(0, 50, len(lines))
+        for line, i, fresh in zip(lines.tolist(), ids.tolist(), seen.new(lines, ids).tolist(), strict=True):
+            assert fresh or least[line] < i
+            least[line] = min(i, least.get(line, i)) if fresh else least[line]
+
+
 def test_fingerprints(spark, rows):
     given = [r[:2] for r in rows if r[0] is not None and r[0] != 95]
     df = spark.createDataFrame(given, "doc_id long, text string")
@@ -345,8 +403,7 @@ def test_packing(spark, docs, rows):
 
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    out = packing.pack(docs.where("doc_id is not null and doc_id <> 95"), path, max_tokens=256).collect()
+    out = packing.pack(clash(docs.where("doc_id is not null and doc_id <> 95"), "ids", "length", "key", *CLASHING), path, max_tokens=256).collect()
     texts = {r[0]: r[1] or "" for r in rows if r[0] not in (None, 95)}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in out:
@@ -366,6 +423,45 @@ def test_packing(spark, docs, rows):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    """Repeated rows and null ids are packed as often as they occur; a loss column makes the third limit bind."""
+    given = [(1, "one two three " * 40, 7), (1, "one two three " * 40, 7), (None, "four", None), (2, None, 0)]
+    df = spark.createDataFrame(given, "doc_id long, text string, bears long").coalesce(1)
+    out = packing.pack(df, P.path("word_bpe_49k.json"), loss="bears", max_tokens=64, max_segments=3, max_loss=9).collect()
+    total = Counter()
+    for r in out:
+        total[r.doc_id] += r.length
+    assert total == {1: 242, None: 2, 2: 1}
+    packed = defaultdict(list)
+    for r in out:
+        packed[r.sequence_id].append(r)
+    assert all(sum(r.length for r in x) <= 64 and len(x) <= 3 for x in packed.values())
+    bears = lambda r: max(0, r.start + r.length - max(r.start, 121 - 7)) if r.doc_id == 1 else r.length if r.doc_id is None else 0
+    assert max(sum(map(bears, x)) for x in packed.values()) <= 9
+
+
+def test_word_tokenizer_equals_the_library():
+    """Random texts over all scripts, marks, white space, added tokens' strings: the ids of the library's defaults."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path, rnd = P.path("word_bpe_49k.json"), random.Random(5)
+    tokenizer, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    scripts = [chr(c) for c in range(32, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    odd = ["\u0130", "\u0130stanbul", "e\u0301", "\u0301", "\u0958", "\ufb2a", "\u0344", "\u0085", "\u00a0", "\u2028", "\u1680", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", "it's", "'S", "a'll", "\u212b", "\ufb00", "\u03a3\u03a3", "\u1e9e", "\U0001f600\u200d", "7\u0661", "\x00", "\x1c", "hello", "world", "1984"]
+    texts = ["\u0130stanbul is here", "hello world", "plain text follows", "", "\u0301 x"]
+    for _ in range(1500):
+        pick = lambda: rnd.choice(odd) if rnd.random() < 0.3 else "".join(rnd.choice(scripts) if rnd.random() < 0.3 else rnd.choice("abcXYZ012 '-.") for _ in range(rnd.randrange(1, 8)))
+        texts.append(rnd.choice(["", " "]).join(pick() for _ in range(rnd.randrange(1, 12))))
+    for at in range(0, len(texts), 50):
+        block = texts[at : at + 50]
+        raw = [t.encode("utf-8") for t in block]
+        ids, ends = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        for i, t in enumerate(block):
+            assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_limits():
     rnd = np.random.default_rng(3)
     packer = packing.Packer(0, 64, 5, 20, 4)

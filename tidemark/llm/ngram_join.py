@@ -1,40 +1,40 @@
-"""Exact n-gram Jaccard self-join with prefix postings and tries, and the groups it links.
+"""Exact n-gram Jaccard self-join by prefix tree, and the groups it links.
 
 Texts are sets of word n-grams in one global order: n-grams that repeat within blocks last, by the order of magnitude
-of their number of texts, else by hash. Two sets
-of which 100 * intersection >= percent * union share one of their first n - ceil(percent * n / 100) + 1 n-grams, so
-only these are posted; equal sets are one class and post once.
-
-* Short postings (at most `full_run` classes) give all their pairs whose sizes allow a link. Long ones give each
-  class's pairs with its neighbour and with a few hubs, and are kept.
-* Pairs whose sets must differ too much are left out by histograms of the sets' hashes, about a quarter byte an
-  n-gram: the sum of their differences is at most the size of the symmetric difference, so no link is lost.
-* Of each class's candidates one is verified first, then only those pairs whose classes are still apart. Candidates
-  of a hub are salted in groups of about 500. They are verified exactly, by trie: the ordered sets of a hub's candidates are walked as a trie (rows
-  in order, each starting at the depth that it shares with the one before), overlaps with the hub are counted
-  once per shared branch, and a branch is pruned where the n-grams left can't reach the overlap needed.
-* Verified links and classes are united by distributed union-find. Kept postings then give each class some
-  partners in other components, and after these are united, every pair that is still in different components, and these are
-  verified and united too. A pair in one component already needs no
-  test, so no link between different texts is lost and no group emits all its pairs.
-
-The list of frequent n-grams is bounded: at most `hot_limit` are collected, and any list gives a valid order, so
-the result doesn't depend on it.
+of their number of texts, else by hash. Equal sets are one class. Two sets of which 100 * intersection >= percent *
+union share one of their first n - ceil(percent * n / 100) + 1 n-grams, so only these are posted.
+
+* Families: short postings (at most `full_run` classes) give all their pairs whose sizes allow a link and whose
+  histograms of hashes do (about a quarter byte an n-gram; the sum of their differences is at most the size of the
+  symmetric difference). Of a longer posting only a spanning forest of such pairs is written. The connected
+  components of all these are families: two classes that link are in one family.
+* Prefix-tree join: each class's set goes to its family once. A family's sets are stored in a trie, and all its sets
+  are sent down that trie together; a branch's overlaps are counted once for all rows below it, and a set leaves a
+  branch where the n-grams left of either side can't reach the overlap needed. Nothing but a star for each group of
+  linked sets leaves the task. Families of more than `side` classes (or 32 KB a class) are dealt out by pairs of
+  blocks, so that memory is bounded.
+* Links are united by distributed union-find.
+
+No pair of a family is written, and no link between different texts is lost. The list of frequent n-grams is bounded:
+at most `hot_limit` are collected, and any list gives a valid order, so the result doesn't depend on it.
 
 Defined results: a null text or one without words has an empty set and links with nothing; a text of fewer than
-`gram` words has its whole sequence as its one n-gram; ids must be integers, a null id stays alone with a null
-component unless a text equals it; repeated rows are one class; an empty table gives none.
+`gram` words has its whole sequence as its one n-gram; very long texts are taken whole; ids must be integers, a null
+id stays alone with a null component unless a text equals it; repeated rows are one class; an empty table gives none;
+other columns pass through, whatever their names, but for n_shingles and component_id, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, mix, range_hashes, span_hashes, text_buffer, window_hashes, word_spans
-from .spark_util import components, discard, materialize
+from .spark_util import components, discard, forest, fresh, materialize
 
 
 def gram_sets(part: pa.RecordBatch, gram: int, column: str = "text"):
@@ -81,7 +81,7 @@ def _frequent(gram: int):
 
 
 def _profiles(gram: int, percent: int, hot):
-    """(id, dk, n, d1, d2, prefix, bins): set size, digests of the set, its first n-grams in the global order and its histogram."""
+    """(id, dk, n, d1, prefix, bins): set size, a digest of the set, its first n-grams in the global order and its histogram."""
 
     def run(batches):
         frequent, rank = hot.value
@@ -105,7 +105,7 @@ def _profiles(gram: int, percent: int, hot):
                 prefix = hashes[place < length[doc]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
                 bins = histograms(hashes, doc, np.where(once, n, 0), mask=np.repeat(once, n))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dk"), pa.array(n), *map(pa.array, sums), lists, bins], names=["id", "dk", "n", "d1", "d2", "prefix", "bins"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dk"), pa.array(n), pa.array(sums[0]), lists, bins], names=["id", "dk", "n", "d1", "prefix", "bins"])
 
     return run
 
@@ -148,151 +148,256 @@ def _within(percent: int):
     return run
 
 
-def _candidates(percent: int, full_run: int, hubs: int):
-    """From postings (h, node, n) of a partition: pairs (a, b, null) to verify and rows (null, node, h) of long postings."""
+def _candidates(percent: int, full_run: int):
+    """From postings (h, node, n) of a partition, in order of h, n and node: pairs (a, b, null, null), and of long
+    postings the rows (node, null, h, n).
 
-    def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+    Postings of at most `full_run` classes give all their pairs whose sizes allow a link. Rows are taken as they come:
+    of a posting that goes on, at most 2 * `full_run` are held.
+    """
+
+    def pairs(h, node, n, long):
+        if not len(h):
             return
-        h, node, n = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("h", "node", "n"))
-        order = np.lexsort((mix(node.view(np.uint64)), n, h))
-        h, node, n = h[order], node[order], n[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]  # one row a class, of however many blocks
-        h, node, n = h[new], node[new], n[new]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.append(first, len(h)))
-        run_of = np.repeat(np.arange(len(first)), size)
-        short = size[run_of] <= full_run
-        pairs = []
+        wide = size > full_run
+        wide[0] |= long
+        wide = np.repeat(wide, size)
         for far in range(1, min(int(size.max()), full_run)):
-            i = np.flatnonzero((h[far:] == h[:-far]) & short[far:] & (100 * n[:-far] >= percent * n[far:]))
-            if not len(i):
-                if far > 1 and size[size <= full_run].max(initial=0) <= far:
-                    break
+            i = np.flatnonzero((h[far:] == h[:-far]) & (100 * n[:-far] >= percent * n[far:]) & ~wide[far:])
+            for at in range(0, len(i), 100_000):
+                a, b = node[i[at : at + 100_000]], node[i[at : at + 100_000] + far]
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names=["a", "b", "h", "n"])
+        if wide.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[wide]), pa.nulls(int(wide.sum()), pa.int64()), pa.array(h[wide]), pa.array(n[wide])], names=["a", "b", "h", "n"])
+
+    def run(batches):
+        h, node, n, long, goes_on = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False, 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            pairs.append(np.stack([node[i], node[i + far]], 1))
-        long = np.flatnonzero(~short)
-        if len(long):
-            near = long[:-1][(h[long[:-1]] == h[long[1:]])]
-            pairs.append(np.stack([node[near], node[near + 1]], 1))
-            for j in range(hubs):
-                hub = first[run_of[long]] + (size[run_of[long]] * (2 * j + 1)) // (2 * hubs)
-                fits = (100 * np.minimum(n[long], n[hub]) >= percent * np.maximum(n[long], n[hub])) & (long != hub)
-                pairs.append(np.stack([node[long[fits]], node[hub[fits]]], 1))
-        if pairs:
-            both = np.concatenate(pairs)
-            both = np.unique(np.sort(both, axis=1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            for at in range(0, len(both), 100_000):
-                block = both[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(block[:, 0])), pa.array(np.ascontiguousarray(block[:, 1])), pa.nulls(len(block), pa.int64()), pa.nulls(len(block), pa.int64())], names=["a", "b", "h", "n"])
-        for at in range(0, len(long), 100_000):
-            block = long[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(node[block]), pa.nulls(len(block), pa.int64()), pa.array(h[block]), pa.array(n[block])], names=["a", "b", "h", "n"])
+            if not len(h):
+                long = long and batch.column("h")[0].as_py() == goes_on
+            h, node, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((h, "h"), (node, "node"), (n, "n")))
+            last = int(np.searchsorted(h, h[-1]))  # the posting that may go on
+            if last:
+                yield from pairs(h[:last], node[:last], n[:last], long)
+                h, node, n, long = h[last:], node[last:], n[last:], False
+            if len(h) > 2 * full_run or long:
+                yield from pairs(h, node, n, True)
+                goes_on, long = h[-1], True
+                h, node, n = h[:0], node[:0], n[:0]
+        yield from pairs(h, node, n, long)
 
     return run
 
 
-def trie_links(hub: np.ndarray, members: list[np.ndarray], percent: int, step: int = 32) -> np.ndarray:
-    """Which members, as ascending arrays, link with the hub, walking the trie of their sequences.
+def feasible_forest(bins: list[np.ndarray], n: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Edges (i, j) of a spanning forest of the pairs whose sizes and histograms allow a link.
 
-    Rows are taken in order; each starts at the depth that it shares with the one before, with the overlap found
-    there. `step` n-grams are counted at a time, and a branch ends where the overlap so far and what is left of
-    either set can't reach 100 * overlap >= percent * union.
+    With `side`, only pairs of different sides count. A search from class to class compares each with those that no
+    search has reached, so a dense group costs little more than its size.
     """
-    order = sorted(range(len(members)), key=lambda i: members[i].tobytes())
-    linked = np.zeros(len(members), bool)
-    before, reached, overlaps = np.zeros(0, np.uint64), 0, np.zeros(1, np.int64)
-    for i in order:
-        own = members[i]
-        # smallest overlap o with 100 o >= percent (a + b - o)
-        need = -(-percent * (len(own) + len(hub)) // (100 + percent))
-        k = min(len(before), len(own), reached)
-        differ = np.flatnonzero(before[:k] != own[:k])
-        depth = int(differ[0]) if len(differ) else k
-        path = np.empty(len(own) + 1, np.int64)
-        path[: depth + 1] = overlaps[: depth + 1]
-        at = depth
-        while at < len(own):
-            place = int(np.searchsorted(hub, own[at]))
-            if path[at] + min(len(own) - at, len(hub) - place) < need:
-                break
-            block = own[at : at + step]
-            found = hub[np.minimum(np.searchsorted(hub, block), len(hub) - 1)] == block
-            path[at + 1 : at + 1 + len(block)] = path[at] + np.cumsum(found)
-            at += len(block)
-        linked[i] = at == len(own) and path[at] >= need
-        before, reached, overlaps = own, at, path
-    return linked
-
-
-def _verify(gram: int, percent: int):
-    """Links (a, b) from rows (b, salt, a, text) in order: a hub's own row (null a) before those of its candidates."""
+    order = np.argsort(n, kind="stable")
+    widths = np.array([len(x) for x in bins])
+    flat = {w: np.stack([bins[i].astype(np.int32) for i in np.flatnonzero(widths == w)]) for w in np.unique(widths)}
+    where = np.zeros(len(n), np.int64)
+    for w in flat:
+        where[widths == w] = np.arange((widths == w).sum())
+    left = np.ones(len(n), bool)
+    edges = []
+    for start in order:
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [int(start)]
+        while todo:
+            i = todo.pop()
+            near = left & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if side is not None:
+                near &= side != side[i]
+            own = flat[widths[i]][where[i]]
+            for w in np.unique(widths[near]):
+                j = np.flatnonzero(near & (widths == w))
+                other, k = flat[w][where[j]], min(w, widths[i])
+                apart = np.abs(other.reshape(len(j), -1, k).sum(1) - own.reshape(-1, k).sum(0)).sum(1)
+                j = j[100 * (n[j] + n[i] - apart) >= percent * (n[j] + n[i] + apart)]
+                edges += [(i, int(x)) for x in j]
+                left[j] = False
+                todo += j.tolist()
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
+def grouped(batches, keys: list[str], columns: list[str]):
+    """(key, lists of the columns' values) of each group of consecutive rows; binary values as arrays of bytes."""
+    now, held = None, None
+    for batch in batches:
+        own = [batch.column(c).to_numpy() for c in keys]
+        values = []
+        for c in columns:
+            if pa.types.is_binary(batch.column(c).type):
+                buf, at = text_buffer(batch.column(c))
+                values.append([buf[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)])
+            else:
+                values.append(batch.column(c).to_pylist())
+        if not batch.num_rows:
+            continue
+        first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in own], axis=0)])
+        for lo, hi in zip(first, np.append(first[1:], batch.num_rows), strict=True):
+            key = tuple(int(x[lo]) for x in own)
+            if key != now:
+                if held is not None:
+                    yield now, held
+                now, held = key, [[] for _ in columns]
+            for into, v in zip(held, values, strict=True):
+                into += v[lo:hi]
+    if held is not None:
+        yield now, held
+
+
+def _chains(percent: int):
+    """From rows (h, lo, hi, own, node, n, bins) in order, a block or two of a long posting: edges (a, b) of a spanning
+    forest of its pairs that histograms allow."""
 
     def run(batches):
-        hub, hub_set = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            for part in chunks(batch):
-                sets, at = gram_sets(part, gram)
-                b, member = part.column("b").to_numpy(), part.column("a").is_valid().to_numpy(zero_copy_only=False)
-                salt = part.column("salt").to_numpy()
-                keep = np.zeros(len(b), bool)
-                borders = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (salt[1:] != salt[:-1])])
-                for lo, hi in zip(borders, np.append(borders[1:], len(b)), strict=True):
-                    if not member[lo]:
-                        hub, hub_set = b[lo], sets[at[lo] : at[lo + 1]].copy()
-                        lo += 1
-                    if lo < hi and hub == b[lo]:
-                        keep[lo:hi] = trie_links(hub_set, [sets[at[i] : at[i + 1]] for i in range(lo, hi)], percent)
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+        for (_, lo, hi), (own, node, n, bins) in grouped(batches, ["h", "lo", "hi"], ["own", "node", "n", "bins"]):
+            edges = feasible_forest(bins, np.array(n), percent, None if lo == hi else np.array(own))
+            if len(edges):
+                node = np.array(node)
+                yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
 
     return run
 
 
-def _crossing(percent: int, reach: int | None, block: int = 1 << 18):
-    """From long postings (h, node, n, component) of a partition: pairs of different components whose sizes allow a link.
+class Trie:
+    """Ascending sequences of ranks as a trie whose branches hold a run of ranks each.
 
-    All of them, or, given `reach`, at most so many of each class, spread over the posting.
+    A branch is (parent, from, to, row, lo, hi): the ranks [from:to) of a row's sequence, which the rows lo..hi-1 in
+    lexicographic order share. Parents come before their children; the last branch of each row ends with it.
     """
 
+    def __init__(self, sequences: list[np.ndarray]):
+        self.order = sorted(range(len(sequences)), key=lambda i: sequences[i].astype(">u4").tobytes())
+        self.rows = [sequences[i] for i in self.order]
+        shared = [0]
+        for one, two in zip(self.rows, self.rows[1:], strict=False):
+            k = min(len(one), len(two))
+            differ = np.flatnonzero(one[:k] != two[:k])
+            shared.append(int(differ[0]) if len(differ) else k)
+        self.branches = []
+        todo = [(-1, 0, 0, len(self.rows))]
+        while todo:
+            parent, depth, lo, hi = todo.pop()
+            ends = [lo, *(i for i in range(lo + 1, hi) if shared[i] == depth), hi]  # rows parting at this depth
+            for a, b in zip(ends, ends[1:], strict=False):
+                to = len(self.rows[a]) if b == a + 1 else min(shared[a + 1 : b])
+                self.branches.append((parent, depth, to, a, a, b))
+                if b > a + 1:
+                    todo.append((len(self.branches) - 1, to, a, b))
+
+
+def trie_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, room: int = 1 << 25) -> np.ndarray:
+    """Pairs (i, j) of sets left[i] and right[j], or with no `right` of left[i] and left[j], that link.
+
+    N-grams are ranked by how many of the sets have them, frequent ones first; those of one set only count for its
+    length. The right sets' trie is walked once for as many left sets as `room` allows: each branch takes its parent's
+    overlaps and adds its own n-grams for all rows below it, and left sets leave it where what is left of either side
+    can't reach 100 * overlap >= percent * union for any row below.
+    """
+    sets = left + (right or [])
+    lengths = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    several = count[gram] > 1
+    owner, ranks = owner[several], rank[gram[several]]
+    order = np.lexsort((ranks, owner))
+    owner, ranks = owner[order], ranks[order]
+    width = int((count > 1).sum())
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    known = np.diff(first)
+    sequences = [ranks[first[i] : first[i + 1]] for i in range(len(sets))]
+    base = len(left) if right else 0
+    trie = Trie(sequences[base:])
+    column = np.array(trie.order)
+    row_known, row_size = known[base + column], lengths[base + column]
+    place = np.empty(len(column), np.int64)  # in the trie's order
+    place[column] = np.arange(len(column))
+    flat = owner * (width + 1) + ranks
+    out = []
+    need = lambda a, b: -(-percent * (a + b) // (100 + percent))  # noqa: E731  smallest overlap o with 100 o >= percent (a + b - o)
+    step = max(1, room // max(width, 1))
+    for at in range(0, len(left), step):
+        probes = np.arange(at, min(at + step, len(left)))
+        has = np.zeros((len(probes), width), bool)
+        inside = slice(first[at], first[probes[-1] + 1])
+        has[owner[inside] - at, ranks[inside]] = True
+        walked = {-1: (probes, np.zeros(len(probes), np.int64))}
+        below = Counter(b[0] for b in trie.branches)
+        for k, (parent, start, to, row, lo, hi) in enumerate(trie.branches):
+            own, overlap = walked[parent]
+            below[parent] -= 1
+            if not below[parent]:
+                del walked[parent]
+            if right is None:  # each pair once
+                above = place[own] < hi - 1
+                own, overlap = own[above], overlap[above]
+            if not len(own):
+                walked[k] = own, overlap
+                continue
+            part = trie.rows[row][start:to]
+            if len(part):
+                overlap = overlap + has[np.ix_(own - at, part)].sum(1)
+            rest = known[own] - (np.searchsorted(flat, own * (width + 1) + part[-1], "right") - first[own]) if len(part) else known[own]
+            reach = overlap + np.minimum(int(row_known[lo:hi].max()) - to, rest)
+            stay = reach >= need(lengths[own], int(row_size[lo:hi].min()))
+            own, overlap = own[stay], overlap[stay]
+            if hi == lo + 1:
+                hit = overlap >= need(lengths[own], int(row_size[lo]))
+                if right is None:
+                    hit &= place[own] < lo
+                out.append(np.stack([own[hit], np.full(hit.sum(), column[lo])], 1))
+            else:
+                walked[k] = own, overlap
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _families(percent: int):
+    """From rows (family, lo, hi, own, node, set) in order, a block or two of a family: links (a, b), found by trie and
+    given as a star for each of the components that they make."""
+
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        h, node, n, part = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("h", "node", "n", "component"))
-        order = np.lexsort((node, n, part, h))
-        h, node, n, part = h[order], node[order], n[order], part[order]
-        found, held = [], 0
+        for (_, lo, hi), (own, node, sets) in grouped(batches, ["family", "lo", "hi"], ["own", "node", "set"]):
+            own, node, sets = np.array(own), np.array(node), [s.view(np.uint64) for s in sets]
+            left = np.flatnonzero(own == lo)
+            right = left if lo == hi else np.flatnonzero(own == hi)
+            if not len(left) or not len(right):
+                continue
+            links = trie_links([sets[i] for i in left], None if lo == hi else [sets[i] for i in right], percent)
+            if len(links):
+                a, b = forest(node[left[links[:, 0]]], node[right[links[:, 1]]])
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], names=["a", "b"])
+
+    return run
 
-        def out():
-            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            for at in range(0, len(both), 100_000):
-                piece = both[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(piece[:, j])) for j in (0, 1)], names=["a", "b"])
 
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        for lo, hi in zip(first, np.append(first[1:], len(h)), strict=True):
-            edges = np.append(lo + np.flatnonzero(np.r_[True, part[lo + 1 : hi] != part[lo : hi - 1]]), hi)
-            for e in edges[1:-1]:
-                start = edges[np.searchsorted(edges, e) - 1]
-                for i in range(start, e):  # each class of a component against all later components
-                    fit = np.flatnonzero((100 * np.minimum(n[i], n[e:hi]) >= percent * np.maximum(n[i], n[e:hi])))
-                    if reach and len(fit) > reach:
-                        fit = fit[(len(fit) * (2 * np.arange(reach) + 1)) // (2 * reach)]
-                    if len(fit):
-                        found.append(np.stack([np.full(len(fit), node[i]), node[e + fit]], 1))
-                        held += len(fit)
-                    if held > block or len(found) > 20_000:
-                        yield from out()
-                        found, held = [], 0
-        if found:
-            yield from out()
+def _sets(gram: int):
+    """(node, family, sides, set): the ascending n-gram hashes of each text as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                hashes, offsets = gram_sets(part, gram)
+                sets = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(hashes)])
+                yield pa.RecordBatch.from_arrays([*part.select(["node", "family", "sides"]).columns, sets], names=["node", "family", "sides", "set"])
 
     return run
 
 
-def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hubs: int, hot_limit: int) -> tuple[DataFrame, DataFrame]:
+def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, side: int, hot_limit: int) -> tuple[DataFrame, DataFrame]:
     """Profiles (id, dk, n, d1) of all of (id, dk, text), and (node, component) of classes d1 that have links."""
     spark = docs.sparkSession
     frequent = docs.mapInArrow(_frequent(gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > full_run)
@@ -300,64 +405,57 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, hu
     h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
     order = np.argsort(h)
     listed = spark.sparkContext.broadcast((h[order], (1 + np.log2(np.maximum(n, 1)[order])).astype(np.int8)))
-    profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, d2 long, prefix array<long>, bins binary"), "profiles")
-    postings = profiles.where("n > 0").select(F.explode("prefix").alias("h"), F.col("d1").alias("node"), "n").repartition("h")
-    found = materialize(postings.mapInArrow(_candidates(percent, full_run, hubs), "a long, b long, h long, n long"), "candidates")
-    pairs = _near(profiles, found.where("b is not null").select("a", "b").distinct(), percent)
-    links = _verified(docs, profiles, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gram, percent)
-    parts = materialize(components(links), "set-components")
-    long = found.where("b is null").select(F.col("a").alias("node"), "h", "n")
-    for reach in (2 * hubs, None):
-        placed = long.join(parts, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-        crossing = placed.join(mixed, "h").select("h", "node", "n", "component").repartition("h").mapInArrow(_crossing(percent, reach), "a long, b long")
-        rest = _near(profiles, crossing.distinct(), percent)
-        if reach is None:
-            label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
-            across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-            rest = rest.union(across.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")).distinct()
-        if rest.limit(1).count():
-            links = links.union(_verified(docs, profiles, rest, gram, percent))
-            parts = materialize(components(links), "set-components")
+    profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, prefix array<long>, bins binary"), "profiles")
+    whole = F.struct("n", "prefix", "bins", "dk")  # one row a class, of however many blocks
+    classes = profiles.where("length(bins) > 0").groupBy("d1").agg(F.first(whole).alias("x")).select(F.col("d1").alias("node"), "x.*")
+    classes = materialize(classes, "classes")
+    postings = classes.select(F.explode("prefix").alias("h"), "node", "n").repartition("h").sortWithinPartitions("h", "n", "node")
+    found = materialize(postings.mapInArrow(_candidates(percent, full_run), "a long, b long, h long, n long"), "candidates")
+    near = _near(classes, found.where("h is null").select("a", "b").distinct(), percent)
+    long = found.where("h is not null").select("h", F.col("a").alias("node"), "n")
+    long = long.join(long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / (8 * side)).alias("sides")), "h").join(classes.select("node", "bins"), "node")
+    chains = blocks(long, "h", "node", "n", "bins").mapInArrow(_chains(percent), "a long, b long")
+    families = materialize(components(near.union(chains)), "families")
     discard(found)
-    discard(pairs)
-    return profiles.select("id", "dk", "n", "d1"), parts
-
-
-def _near(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    discard(near)
+    placed = classes.select("node", "n", "dk").join(families, "node")
+    size = F.greatest(F.count(F.lit(1)) / side, F.sum("n") / (side * 4096))  # classes and bytes of a group are bounded
+    sides = placed.groupBy("component").agg(F.ceil(size).alias("sides"))
+    placed = placed.join(sides, "component").select("dk", "node", F.col("component").alias("family"), "sides")
+    texts = docs.select("dk", "text").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk").select("node", "family", "sides", "text")
+    sets = texts.mapInArrow(_sets(gram), "node long, family long, sides long, set binary")
+    dealt = blocks(sets, "family", "node", "set")
+    parts = materialize(components(dealt.mapInArrow(_families(percent), "a long, b long")), "set-components")
+    discard(families)
+    discard(classes)
+    return profiles, parts
+
+
+def blocks(rows: DataFrame, group: str, node: str, *columns: str) -> DataFrame:
+    """Rows (group, lo, hi, own, node, columns) in order: each group's nodes in `sides` blocks, and each pair of blocks."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(node), "sides")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    dealt = dealt.select(group, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", node, *columns)
+    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", node)
+
+
+def _near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose histograms allow a link: none that links is lost."""
-    bins = profiles.where("length(bins) > 0").groupBy("d1").agg(F.first("bins").alias("bins"), F.first("n").alias("n"))
-    side = lambda c: bins.select(F.col("d1").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n_{c}"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n_{c}"))
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within(percent), "a long, b long"), "set-pairs")
 
 
-def _verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, each class by the text of one of its documents."""
-    pairs = materialize(pairs, "verify-pairs")
-    nodes = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()
-    chosen = materialize(profiles.join(nodes, "d1", "left_semi").groupBy("d1").agg(F.min("dk").alias("dk")), "chosen")
-    texts = materialize(docs.select("dk", "text").join(chosen, "dk").groupBy("d1").agg(F.min("text").alias("text")), "set-texts")
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts"))
-    members = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    members = members.join(texts.withColumnRenamed("d1", "a"), "a").select("b", "salt", "a", "text")
-    own = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("d1", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
-    rows = members.union(own).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    links = materialize(rows.mapInArrow(_verify(gram, percent), "a long, b long"), "set-links")
-    for table in (pairs, chosen, texts):
-        discard(table)
-    return links
-
-
-def link_groups(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80, full_run: int = 32, hubs: int = 4, hot_limit: int = 300_000) -> DataFrame:
+def link_groups(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80, full_run: int = 8, side: int = 256, hot_limit: int = 300_000) -> DataFrame:
     """Adds n_shingles (set size) and component_id (the smallest id reachable by links) to the table."""
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("dk"), F.col(f"`{text}`").alias("text"))
-    profiles, parts = class_components(docs, gram, percent, full_run, hubs, hot_limit)
+    dk = fresh(df, "dk")
+    stands = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), stands.alias("dk"), F.col(f"`{text}`").alias("text"))
+    profiles, parts = class_components(docs, gram, percent, full_run, side, hot_limit)
     placed = profiles.join(parts, profiles["d1"] == parts["node"], "left").select("id", "dk", "n", F.when(F.col("n") > 0, F.coalesce("component", "d1")).alias("part"))
     least = placed.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
     known = placed.join(least, "part", "left").groupBy("dk").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("least", "id")).alias("component_id"))
     names = [c for c in df.columns if c not in ("n_shingles", "component_id")]
-    own = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("dk"))
-    return own.join(known, "dk").select(*[F.col(f"`{c}`") for c in names], "n_shingles", "component_id")
+    own = df.select(*[F.col(f"`{c}`") for c in names], stands.alias(dk))
+    return own.join(known.withColumnRenamed("dk", dk), dk).select(*[F.col(f"`{c}`") for c in names], "n_shingles", "component_id")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

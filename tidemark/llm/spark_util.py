@@ -29,6 +29,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever its columns are called: `name` with underscores added."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialize() has written, once nothing reads it any more."""
     path = getattr(df, "_tidemark_path", None)
@@ -104,4 +112,6 @@ def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
         now = new
         if tuple(same) == (count, check):
             break
+    else:
+        raise RuntimeError("connected components did not settle in 60 rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
