@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, fingerprints, jaccard, language, licenses, line_dedup, media, ngram_join, packing, repeats, spark_util, toxicity
+from tidemark.llm import arrays, byte_bpe, fingerprints, jaccard, language, licenses, line_dedup, media, ngram_join, packing, repeats, spark_util, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -246,10 +246,20 @@ def test_line_links_of_a_large_family(spark):
     assert 1 < len(set(part.values())) < 300
 
 
+def test_sieve(spark):
+    rnd = np.random.default_rng(4)
+    keys = np.r_[rnd.integers(-(2**63), 2**63 - 1, 3000), 0, -1, 2**63 - 1, -(2**63)]
+    given = spark.createDataFrame([(int(k),) for k in keys], "k long")
+    for bits, most in ((10, 1.0), (16, 0.06), (22, 0.002)):
+        sieve = spark_util.Sieve(given, "k", bits)
+        assert sieve.may_hold(keys).all() and sieve.may_hold(rnd.integers(-(2**63), 2**63 - 1, 20_000)).mean() <= most
+    assert not spark_util.Sieve(given.limit(0), "k", 10).may_hold(keys).any()
+
+
 def test_lines_met_before():
     """The bounded table of lines met forgets some, but never takes a new line, or one at a smaller id, for a known one."""
     rnd = np.random.default_rng(1)
-    seen, least = line_dedup.Seen(bits=3), {}
+    seen, least = arrays.Seen(bits=3), {}
     for _ in range(200):
         lines = np.unique(rnd.integers(-20, 20, 8))
         ids = rnd.integers(0, 50, len(lines))

@@ -157,6 +157,22 @@ def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return coded.dictionary, coded.indices.to_numpy()
 
 
+class Seen:
+    """Keys that a task has met before, with the id of an earlier place: a table of bounded size, so a key may be
+    forgotten and is then taken for a new one."""
+
+    def __init__(self, bits: int = 18):
+        self.key, self.id, self.mask = ~np.arange(1 << bits), np.zeros(1 << bits, np.int64), (1 << bits) - 1
+
+    def new(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of distinct keys were not met before at a smaller id; one of each slot of the table is remembered."""
+        at = keys & self.mask
+        fresh = (self.key[at] != keys) | (self.id[at] >= ids)
+        slot, row = np.unique(at[fresh], return_index=True)
+        self.key[slot], self.id[slot] = keys[fresh][row], ids[fresh][row]
+        return fresh
+
+
 def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray):
     """Concatenated values[offsets[i]:offsets[i+1]] for i in index, and the offsets of the result."""
     lengths = offsets[index + 1] - offsets[index]

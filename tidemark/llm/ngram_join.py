@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, chunks, mix, range_hashes, span_hashes, text_buffer, window_hashes, word_spans
-from .spark_util import components, discard, forest, fresh, materialize
+from .arrays import LOWER, Seen, chunks, mix, range_hashes, span_hashes, text_buffer, window_hashes, word_spans
+from .spark_util import Sieve, components, discard, forest, fresh, materialize
 
 
 def gram_sets(part: pa.RecordBatch, gram: int, column: str = "text"):
@@ -384,15 +384,20 @@ def _families(percent: int):
     return run
 
 
-def _sets(gram: int):
-    """(node, family, sides, set): the ascending n-gram hashes of each text as bytes."""
+def _sets(gram: int, wanted: Sieve):
+    """(dk, set): the ascending n-gram hashes, as bytes, of each text that may be wanted and that the task hasn't met."""
 
     def run(batches):
+        seen, count = Seen(bits=12), 0
         for batch in batches:
-            for part in chunks(batch):
+            keys, first = np.unique(batch.column("dk").to_numpy(), return_index=True)
+            fresh = wanted.may_hold(keys)
+            fresh[fresh] = seen.new(keys[fresh], np.full(fresh.sum(), count))
+            count += 1
+            for part in chunks(batch.take(pa.array(first[fresh]))):
                 hashes, offsets = gram_sets(part, gram)
                 sets = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(hashes)])
-                yield pa.RecordBatch.from_arrays([*part.select(["node", "family", "sides"]).columns, sets], names=["node", "family", "sides", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("dk"), sets], names=["dk", "set"])
 
     return run
 
@@ -422,12 +427,12 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, si
     size = F.greatest(F.count(F.lit(1)) / side, F.sum("n") / (side * 4096))  # classes and bytes of a group are bounded
     sides = placed.groupBy("component").agg(F.ceil(size).alias("sides"))
     placed = placed.join(sides, "component").select("dk", "node", F.col("component").alias("family"), "sides")
-    texts = docs.select("dk", "text").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk").select("node", "family", "sides", "text")
-    sets = texts.mapInArrow(_sets(gram), "node long, family long, sides long, set binary")
+    placed = materialize(placed, "family-members")
+    sets = docs.select("dk", "text").mapInArrow(_sets(gram, Sieve(placed, "dk")), "dk long, set binary").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk")
     dealt = blocks(sets, "family", "node", "set")
     parts = materialize(components(dealt.mapInArrow(_families(percent), "a long, b long")), "set-components")
-    discard(families)
-    discard(classes)
+    for table in (families, placed, classes):
+        discard(table)
     return profiles, parts
 
 

@@ -46,6 +46,25 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Sieve:
+    """A set of 64-bit keys as a table of 2**`bits` bits, each key one bit: it may hold keys that aren't in the set, never
+    lacks one that is. Its size is fixed (8 MB by default), however many keys there are, so it can be broadcast; with
+    very many keys it lets everything through."""
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 26):
+        width = 4096  # bytes of one of Spark's bitmaps; they count from 1
+        spot = F.pmod(F.col(column), F.lit(1 << bits)) + 1
+        rows = keys.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).toArrow()
+        table = np.zeros(max(width, (1 << bits) // 8), np.uint8)
+        for bucket, found in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+            table[(bucket - 1) * width : bucket * width] = np.frombuffer(found, np.uint8)
+        self.mask, self.table = (1 << bits) - 1, keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        spot = keys & self.mask
+        return (self.table.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+
+
 def forest(a: np.ndarray, b: np.ndarray):
     """Union-find over edges: nodes and each one's smallest reachable node."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
