@@ -29,5 +29,26 @@ def delta_encode(prices: Column, tick: float) -> Column:
 
 
 def delta_decode(deltas: Column, tick: float) -> Column:
-    """Prices from whole ticks and differences."""
-    return F.transform(F.sequence(F.lit(1), F.size(deltas)), lambda n: F.aggregate(F.slice(deltas, F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + x) * tick)
+    """Prices from whole ticks and differences, in one pass."""
+    start = F.struct(F.lit(0).cast("long").alias("now"), F.array().cast("array<double>").alias("out"))
+
+    def step(a: Column, d: Column) -> Column:
+        now = a["now"] + d
+        return F.struct(now.alias("now"), F.array_append(a["out"], now * tick).alias("out"))
+
+    return F.when(deltas.isNotNull(), F.aggregate(deltas, start, step)["out"])
+
+
+def ticks_to_text(prices: Column, digits: Column) -> Column:
+    """A JSON array of prices as {"base": first, "deltas": [...]} in units of 10**-digits."""
+    units = F.transform(F.from_json(prices, "array<double>"), lambda p: F.round(p * F.pow(F.lit(10.0), digits)).cast("long"))
+    deltas = F.transform(F.slice(units, F.lit(2), F.greatest(F.size(units) - 1, F.lit(0))), lambda u, i: u - F.get(units, i))
+    return F.when(units.isNotNull(), F.to_json(F.struct(F.coalesce(F.get(units, F.lit(0)), F.lit(0).cast("long")).alias("base"), deltas.alias("deltas"))))
+
+
+def ticks_from_text(text: Column, digits: Column) -> Column:
+    """The JSON array of prices that ticks_to_text() coded."""
+    found = F.from_json(text, "base bigint, deltas array<bigint>")
+    scale = F.pow(F.lit(10.0), digits)
+    prices = F.transform(delta_decode(F.concat(F.array(found["base"]), found["deltas"]), 1.0), lambda u: u / scale)
+    return F.when((found["base"] == 0) & (F.size(found["deltas"]) == 0), "[]").otherwise(F.to_json(prices))
