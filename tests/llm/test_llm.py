@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeats, clashing columns, against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -328,6 +329,31 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got[0], want / total) and np.allclose(both, pairs / total)
 
 
+def test_whole_texts_are_one_chain():
+    """Parts with messages between them give the marginals of one chain over the whole text."""
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c"]
+    model = language.Model(names, rng.normal(size=((1 << language.BITS) + 1, 3)).astype(np.float32) / 4, rng.normal(size=(3, 3)))
+    model.weights[-1] = 0
+    texts = [" ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n)) for n in (1, 3, 63, 64, 65, 127, 128, 200, 700)] + ["", "12"]
+    buf, offsets = arrays.text_buffer(pa.array(texts))
+    got, starts, ends, first = language.label_block(model, buf, offsets)
+    data, at, index = language._distinct(buf, starts, ends)
+    scores = language._emissions(language._features(data, at), model.weights)[index]
+    for i in range(len(texts)):
+        a, b = first[i], first[i + 1]
+        if b > a:
+            assert np.allclose(got[a:b], language.marginals(scores[None, a:b], np.array([b - a]), model.transitions)[0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_languages(spark):
+    found = language.op3_language(spark, "/root/testdata/sf0.01").where("held_out")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").where("lang is not null")
+    rows = found.join(truth, "doc_id").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+
+
 def test_toxicity(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(words(rnd, 40) + (["nastyword"] * 3 if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(400)]

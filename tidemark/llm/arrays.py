@@ -6,6 +6,8 @@ than 0x20 and 0x09-0x0D, which never occur inside a multi-byte UTF-8 sequence.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,6 +67,19 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, several of them beside each executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES):
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     offsets = text_buffer(batch.column(column))[1]
@@ -74,6 +89,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray):

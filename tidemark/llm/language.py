@@ -4,14 +4,17 @@ Words are maximal runs of ASCII letters and bytes above 0x7F, lower-cased in ASC
 to 2**BITS weights per language: its n-grams of 2 and 3 bytes with marks for its ends (so prefixes and suffixes
 are features of their own), its first and last 4 and 5 bytes, and the whole word (the lexicon). Transitions
 between the labels of neighbouring words are learned with them, on chains of which a part is put together from
-texts of two languages, so that code-switched text keeps its borders. Words get marginals by forward-backward,
-scaled, over chains of at most `CHAIN` words; a document's language has the largest mean marginal, its score.
+texts of two languages, so that code-switched text keeps its borders. Words get marginals by forward-backward over
+their whole text, scaled: parts of `CHAIN` words first give the matrix by which they change messages, messages then
+pass from part to part, and words get theirs within their parts, which is exact and needs few steps for long texts.
+A document's language has the largest mean marginal, its score.
 
 Training uses a bounded sample: about `per_language` documents of each language, and of these at most `chains`
 chains. All distinct words of a block are scored once.
 
 Defined results: `und` with score 0 where a text is null or has no letter, or where nothing could be learned;
-ties go to the language first in order; equal texts have equal results; other columns pass through unless they
+ties go to the language first in order; equal texts, repeated rows too, have equal results; very long texts are taken
+whole; an empty table gives none; other columns pass through unless they
 bear an output's name, in which case the output replaces them.
 """
 
@@ -29,6 +32,8 @@ from pyspark.sql import types as T
 from .arrays import LOWER, chunks, distinct_spans, span_hashes, text_buffer
 
 BITS, CHAIN = 15, 64
+#: Bounds of the training sample: languages, and characters of a document.
+LANGUAGES, CHARACTERS = 1000, 20_000
 WORD = np.zeros(256, bool)
 WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 ASCII_LETTER = WORD.copy()
@@ -102,19 +107,33 @@ def _emissions(features, weights: np.ndarray) -> np.ndarray:
     return np.add.reduceat(weights[table], first, axis=0) + weights[extra].sum(1)
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Marginals (S, T, L) of chains with emission scores (S, T, L), and the sum of pairwise marginals if asked for."""
+def _weights(scores: np.ndarray, transitions: np.ndarray):
+    """Factors of words and of moves, scaled so that none overflows."""
+    return np.exp((scores - scores.max(2, keepdims=True)).astype(np.float64)), np.exp(transitions - transitions.max())
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Marginals (S, T, L) of chains with emission scores (S, T, L), and the sum of pairwise marginals if asked for.
+
+    Chains may be parts of longer ones: `before` has the forward message of the word before a chain (zeros: there is
+    none), `after` the backward message of a chain's last word.
+    """
     s, t, _ = scores.shape
-    x = np.exp((scores - scores.max(2, keepdims=True)).astype(np.float64))
-    m = np.exp(transitions - transitions.max())
+    x, m = _weights(scores, transitions)
     alpha = np.empty_like(x)
-    alpha[:, 0] = x[:, 0] / x[:, 0].sum(1, keepdims=True)
+    start = x[:, 0]
+    if before is not None:
+        inner = before.any(1)
+        start = np.where(inner[:, None], (before @ m) * start, start)
+    alpha[:, 0] = start / start.sum(1, keepdims=True)
     for i in range(1, t):
         a = (alpha[:, i - 1] @ m) * x[:, i]
         alpha[:, i] = a / a.sum(1, keepdims=True)
     out = np.empty_like(x)
-    beta = np.ones_like(x[:, 0])
-    out[:, t - 1] = alpha[:, t - 1]
+    last = np.ones_like(x[:, 0]) if after is None else after
+    beta = last
+    p = alpha[:, t - 1] * beta
+    out[:, t - 1] = p / p.sum(1, keepdims=True)
     total = np.zeros_like(m)
     for i in range(t - 2, -1, -1):
         ahead = x[:, i + 1] * beta
@@ -124,12 +143,42 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
             both /= both.sum((1, 2), keepdims=True)
             total += (both * alive[:, :, None]).sum(0)
         b = ahead @ m.T
-        beta = np.where(alive, b / b.sum(1, keepdims=True), 1.0)
+        beta = np.where(alive, b / b.sum(1, keepdims=True), last)
         p = alpha[:, i] * beta
         out[:, i] = p / p.sum(1, keepdims=True)
     return (out, total) if pairs else out
 
 
+def transfers(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What a part of a chain does to messages: (S, L, L), the product of its words' matrices, scaled. The first part
+    of a text has no move into its first word."""
+    s, t, k = scores.shape
+    x, m = _weights(scores, transitions)
+    out = np.where(first[:, None, None], np.eye(k), m) * x[:, 0, None, :]
+    for i in range(1, t):
+        alive = (lengths > i)[:, None, None]
+        out = np.where(alive, (out @ m) * x[:, i, None, :], out)
+        out /= out.max((1, 2), keepdims=True)
+    return out
+
+
+def messages(transfer: np.ndarray, text: np.ndarray):
+    """Forward messages into and backward messages out of the parts of texts, part by part; zeros before the first."""
+    parts, k = transfer.shape[:2]
+    before, after = np.zeros((parts, k)), np.ones((parts, k))
+    start = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    count = np.diff(np.append(start, parts))
+    for nth in range(1, int(count.max(initial=0))):
+        own = start[count > nth] + nth
+        ahead = np.where(before[own - 1].any(1)[:, None], before[own - 1], 1.0)
+        now = (ahead[:, None, :] @ transfer[own - 1])[:, 0]
+        before[own] = now / now.sum(1, keepdims=True)
+        back = start[count > nth] + count[count > nth] - 1 - nth
+        now = (transfer[back + 1] @ after[back + 1][:, :, None])[:, :, 0]
+        after[back] = now / now.sum(1, keepdims=True)
+    return before, after
+
+
 def _chains(first: np.ndarray, size: int):
     """Starts and lengths of the chains of texts, and each one's text."""
     counts = np.diff(first)
@@ -204,15 +253,24 @@ def label_block(model: Model, buf: np.ndarray, offsets: np.ndarray):
     if len(starts) and model.languages:
         data, at, index = _distinct(buf, starts, ends)
         scores = _emissions(_features(data, at), model.weights)
-        begin, length, _ = _chains(first, CHAIN)
-        order = np.argsort(length, kind="stable")
-        for lo in range(0, len(order), 4096):
-            own = order[lo : lo + 4096]
-            n = length[own]
-            grid = begin[own][:, None] + np.arange(n.max())
-            valid = np.arange(n.max()) < n[:, None]
-            given = scores[index[np.minimum(grid, len(index) - 1)]]
-            out[grid[valid]] = marginals(given, n, model.transitions)[valid]
+        begin, length, text = _chains(first, CHAIN)
+        moves, rank = model.transitions, np.argsort(length, kind="stable")
+
+        def blocks(chosen):
+            for lo in range(0, len(chosen), 2048):
+                own = chosen[lo : lo + 2048]
+                grid = begin[own][:, None] + np.arange(length[own].max())
+                yield own, grid, scores[index[np.minimum(grid, len(index) - 1)]]
+
+        nth = np.arange(len(text)) - np.searchsorted(text, text)
+        several = np.bincount(text)[text] > 1
+        transfer = np.ones((len(text), moves.shape[0], moves.shape[0]))
+        for own, _, given in blocks(rank[several[rank]]):
+            transfer[own] = transfers(given, length[own], moves, nth[own] == 0)
+        before, after = messages(transfer, text)
+        for own, grid, given in blocks(rank):
+            valid = np.arange(grid.shape[1]) < length[own][:, None]
+            out[grid[valid]] = marginals(given, length[own], moves, before=before[own], after=after[own])[valid]
     return out, starts, ends, first
 
 
@@ -226,15 +284,17 @@ def has_letter(column, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sample(df: DataFrame, text: str, language: str, key: str, per_language: int) -> tuple[list[str], list[str]]:
-    """About `per_language` documents a language, by a hash of the key: a bound on what is collected."""
+    """About `per_language` documents a language, by a hash of the key, of at most LANGUAGES languages, the most frequent
+    ones, and of each document at most CHARACTERS characters: a bound on what is collected, in rows and in bytes."""
     rows = df.where(F.col(text).isNotNull() & F.col(language).isNotNull())
-    counts = rows.groupBy(F.col(language).alias("name")).count().limit(1000)
+    counts = rows.groupBy(F.col(language).alias("name")).count().orderBy(F.desc("count"), "name").limit(LANGUAGES)
     share = {r["name"]: per_language / r["count"] for r in counts.collect()}
     if not share:
         return [], []
     wanted = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col(language))
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003)
-    found = rows.where(draw < wanted).select(F.col(text).alias("t"), F.col(language).alias("l"), F.col(key).alias("k")).limit(2 * per_language * len(share)).collect()
+    drawn = rows.where(draw < wanted).select(F.substring(F.col(text), 1, CHARACTERS).alias("t"), F.col(language).alias("l"), F.col(key).alias("k"), draw.alias("d"))
+    found = drawn.orderBy("d", "l", "t").limit(2 * per_language * len(share)).collect()
     found.sort(key=lambda r: (str(r["k"]), r["t"], r["l"]))
     return [r["t"] for r in found], [r["l"] for r in found]
 
@@ -254,7 +314,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", out: str = "lang_p
         learned: Model = shared.value
         names = np.array([*learned.languages, "und"], object)
         for batch in batches:
-            for part in chunks(batch, text, 4 << 20):
+            for part in chunks(batch, text, 1 << 20):
                 column = part.column(text)
                 buf, offsets = text_buffer(column)
                 post, _, _, first = label_block(learned, buf, offsets)
