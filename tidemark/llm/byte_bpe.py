@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from .arrays import distinct_spans, ragged_take, spread, text_buffer
 from .arrays import chunks as text_chunks
+from .spark_util import in_arrow
 from .tokens import Memo, load_ranks
 
 LETTER, DIGIT, POINT, BLANK, APOSTROPHE = 1, 2, 3, 4, 5
@@ -220,7 +221,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
                 made = [_list_array(found, at)] + ([_binary_array(*codec.decode(found, at))] if decoded else [])
                 yield pa.RecordBatch.from_arrays(part.columns + made, names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -237,7 +238,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str =
             made = _binary_array(*codec.decode(found, np.concatenate([[0], np.cumsum(lengths)])))
             yield pa.RecordBatch.from_arrays(batch.columns + [made], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 def op7_byte_bpe(spark, sf_dir: str, ranks: str | None = None) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, chunks, distinct_spans, span_hashes, text_buffer
+from .spark_util import in_arrow
 
 BITS, CHAIN = 15, 64
 #: Bounds of the training sample: languages, and characters of a document.
@@ -326,7 +327,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", out: str = "lang_p
                     best[known], share[known] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
                 yield pa.RecordBatch.from_arrays(part.columns + [pa.array(names[best], pa.string()), pa.array(share)], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 def spans(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,7 +353,7 @@ def spans(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
                     names=[key, "lang", "first_word", "n_words", "start_byte", "end_byte"],
                 )
 
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"`{key}` {kind}, lang string, first_word long, n_words long, start_byte long, end_byte long")
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).transform(in_arrow, run, f"`{key}` {kind}, lang string, first_word long, n_words long, start_byte long, end_byte long")
 
 
 def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0):

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spark_util import in_arrow
+
 #: Names (SPDX) and wordings of common licence notices.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
@@ -214,7 +216,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "blocks", save: float = 0
                     found[i] = scanner.scan(column[int(i)].as_py())
                 yield pa.RecordBatch.from_arrays(part.columns + [pa.array(found, pa.list_(SPAN))], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:

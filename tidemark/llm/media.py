@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import chunks
+from .spark_util import in_arrow
 
 WIDTH, HEIGHT, RATE = 64, 32, 25
 #: Fixed values of the JPEG (T.81) and RIFF AVI formats.
@@ -215,7 +216,7 @@ def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
                     made.append(write_avi(data + b"\0" * (-len(data) % 64 or (64 if not data else 0))))
                 yield pa.RecordBatch.from_arrays(part.columns + [pa.array(made, pa.binary())], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 FEATURES = "payload binary, frames int, width int, height int, rate double, shot_starts array<int>, changes array<double>"
@@ -244,7 +245,7 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
                 made = pa.array([one(x) for x in part.column(media).to_pylist()], kind)
                 yield pa.RecordBatch.from_arrays(part.columns + [made], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 def clips(df: DataFrame) -> DataFrame:

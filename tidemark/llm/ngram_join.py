@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Seen, chunks, mix, range_hashes, span_hashes, text_buffer, window_hashes, word_spans
-from .spark_util import Sieve, components, discard, forest, fresh, materialize
+from .spark_util import Sieve, components, discard, forest, fresh, in_arrow, materialize
 
 
 def gram_sets(part: pa.RecordBatch, gram: int, column: str = "text"):
@@ -405,21 +405,21 @@ def _sets(gram: int, wanted: Sieve):
 def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, side: int, hot_limit: int) -> tuple[DataFrame, DataFrame]:
     """Profiles (id, dk, n, d1) of all of (id, dk, text), and (node, component) of classes d1 that have links."""
     spark = docs.sparkSession
-    frequent = docs.mapInArrow(_frequent(gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > full_run)
+    frequent = docs.transform(in_arrow, _frequent(gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > full_run)
     hot = frequent.orderBy(F.desc("n"), "h").limit(hot_limit).toArrow()
     h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
     order = np.argsort(h)
     listed = spark.sparkContext.broadcast((h[order], (1 + np.log2(np.maximum(n, 1)[order])).astype(np.int8)))
-    profiles = materialize(docs.mapInArrow(_profiles(gram, percent, listed), "id long, dk long, n long, d1 long, prefix array<long>, bins binary"), "profiles")
+    profiles = materialize(docs.transform(in_arrow, _profiles(gram, percent, listed), "id long, dk long, n long, d1 long, prefix array<long>, bins binary"), "profiles")
     whole = F.struct("n", "prefix", "bins", "dk")  # one row a class, of however many blocks
     classes = profiles.where("length(bins) > 0").groupBy("d1").agg(F.first(whole).alias("x")).select(F.col("d1").alias("node"), "x.*")
     classes = materialize(classes, "classes")
     postings = classes.select(F.explode("prefix").alias("h"), "node", "n").repartition("h").sortWithinPartitions("h", "n", "node")
-    found = materialize(postings.mapInArrow(_candidates(percent, full_run), "a long, b long, h long, n long"), "candidates")
+    found = materialize(postings.transform(in_arrow, _candidates(percent, full_run), "a long, b long, h long, n long"), "candidates")
     near = _near(classes, found.where("h is null").select("a", "b").distinct(), percent)
     long = found.where("h is not null").select("h", F.col("a").alias("node"), "n")
     long = long.join(long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / (8 * side)).alias("sides")), "h").join(classes.select("node", "bins"), "node")
-    chains = blocks(long, "h", "node", "n", "bins").mapInArrow(_chains(percent), "a long, b long")
+    chains = blocks(long, "h", "node", "n", "bins").transform(in_arrow, _chains(percent), "a long, b long")
     families = materialize(components(near.union(chains)), "families")
     discard(found)
     discard(near)
@@ -428,9 +428,9 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, si
     sides = placed.groupBy("component").agg(F.ceil(size).alias("sides"))
     placed = placed.join(sides, "component").select("dk", "node", F.col("component").alias("family"), "sides")
     placed = materialize(placed, "family-members")
-    sets = docs.select("dk", "text").mapInArrow(_sets(gram, Sieve(placed, "dk")), "dk long, set binary").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk")
+    sets = docs.select("dk", "text").transform(in_arrow, _sets(gram, Sieve(placed, "dk")), "dk long, set binary").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk")
     dealt = blocks(sets, "family", "node", "set")
-    parts = materialize(components(dealt.mapInArrow(_families(percent), "a long, b long")), "set-components")
+    parts = materialize(components(dealt.transform(in_arrow, _families(percent), "a long, b long")), "set-components")
     for table in (families, placed, classes):
         discard(table)
     return profiles, parts
@@ -446,7 +446,7 @@ def blocks(rows: DataFrame, group: str, node: str, *columns: str) -> DataFrame:
 def _near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose histograms allow a link: none that links is lost."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n_{c}"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within(percent), "a long, b long"), "set-pairs")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").transform(in_arrow, _within(percent), "a long, b long"), "set-pairs")
 
 
 def link_groups(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80, full_run: int = 8, side: int = 256, hot_limit: int = 300_000) -> DataFrame:

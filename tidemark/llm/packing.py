@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, SPACE, chunks, distinct_spans, ragged_take, text_buffer
 from .byte_bpe import sync_points
+from .spark_util import in_arrow
 from .tokens import Memo, word_encoder
 
 
@@ -221,7 +222,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", te
         packer.finish()
         yield from rows()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).transform(in_arrow, run, schema)
 
 
 def op8_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix, span_hashes, spread, text_buffer, window_hashes, word_spans
-from .spark_util import materialize
+from .spark_util import in_arrow, materialize
 
 LAST = (1 << 63) - 1
 
@@ -192,17 +192,17 @@ def _apply(names: list[str], text: str, window: int):
 
 def repeated_words(docs: DataFrame, window: int, gram: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
     """(dk, lo, hi): intervals of words that go, and (dk): documents that are copies of others with smaller ids."""
-    digests = materialize(docs.mapInArrow(_digests, "id long, dk long, n long, d1 long, d2 long"), "digests")
+    digests = materialize(docs.transform(in_arrow, _digests, "id long, dk long, n long, d1 long, d2 long"), "digests")
     least = digests.groupBy("d1", "d2", "n").agg(F.min("id").alias("least"))
     marked = digests.join(least, ["d1", "d2", "n"])
     copies = marked.where("id > least").select("dk").distinct()
     firsts = docs.join(copies, "dk", "left_anti")
-    runs = materialize(firsts.mapInArrow(_anchor_rows(window, gram), "anchor long, id long, dk long, lo long, count long"), "anchors")
+    runs = materialize(firsts.transform(in_arrow, _anchor_rows(window, gram), "anchor long, id long, dk long, lo long, count long"), "anchors")
     groups = runs.select("anchor", "dk").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     listed = runs.join(groups, "anchor").groupBy("dk").agg(F.collect_list(F.struct("anchor", "lo", "count", (F.col("size") > group_limit).alias("large"))).alias("runs"))
     given = docs.join(listed, "dk")
-    suffixes = materialize(given.mapInArrow(_suffix_rows(window, gram), "anchor long, id long, dk long, lo long, suffixes array<long>, large boolean"), "suffixes")
-    small = suffixes.where("not large").repartition("anchor").mapInArrow(_subtrees(window), "dk long, lo long, hi long")
+    suffixes = materialize(given.transform(in_arrow, _suffix_rows(window, gram), "anchor long, id long, dk long, lo long, suffixes array<long>, large boolean"), "suffixes")
+    small = suffixes.where("not large").repartition("anchor").transform(in_arrow, _subtrees(window), "dk long, lo long, hi long")
     single = suffixes.where("large").select("anchor", "id", "dk", F.posexplode("suffixes").alias("i", "suffix"), "lo").select("anchor", "suffix", "id", "dk", (F.col("lo") + F.col("i")).alias("lo"))
     nodes = single.groupBy("anchor", "suffix").agg(F.min("id").alias("least"))
     large = single.join(nodes, ["anchor", "suffix"]).where("id > least").select("dk", "lo", (F.col("lo") + window).alias("hi"))
@@ -221,7 +221,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     whole = whole.select(*[F.col(f"`{c}`") for c in names], "_cut", F.coalesce("_copy", F.lit(False)).alias("_copy"))
     out = [*names, "kept_text", "n_words", "n_removed"]
     schema = df.select(*[F.col(f"`{c}`") for c in names]).schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return whole.mapInArrow(_apply(out, text, window), schema)
+    return whole.transform(in_arrow, _apply(out, text, window), schema)
 
 
 def op4_repeats(spark, sf_dir: str) -> DataFrame:

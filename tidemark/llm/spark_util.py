@@ -18,6 +18,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of rows that are sent to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded in bytes, as rows may be whole books: Spark bounds them to 64 MB,
+    several times over for each task. Sets spark.sql.execution.arrow.maxBytesPerBatch where it is larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(name, None) or "").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
@@ -110,11 +124,11 @@ def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
     Rows with a null end and loops are left out; an empty input gives an empty result.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = materialize(edges.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    now = materialize(edges.transform(in_arrow, _contract, "a long, b long").distinct(), "edges")
     for _ in range(60):
         count, check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if count <= small:
-            last = materialize(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "edges")
+            last = materialize(now.coalesce(1).transform(in_arrow, _contract, "a long, b long"), "edges")
             discard(now)
             now = last
             break

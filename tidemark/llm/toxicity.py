@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, chunks, distinct_spans, text_buffer, word_spans
+from .spark_util import in_arrow
 
 #: Words of the second person and look-alikes of letters.
 SECOND = frozenset("you your yours yourself u ur ya du dich dir dein deine deinen deinem ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus ti os vosotros".split())
@@ -332,7 +333,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                     found = calibrated(learned, margins(learned, featurise(words, *text_buffer(part.column(text)))))
                 yield pa.RecordBatch.from_arrays(part.columns + [pa.array(found, pa.float64())], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in own]).transform(in_arrow, run, schema)
 
 
 def held_out(key: str = "doc_id"):
