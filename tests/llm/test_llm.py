@@ -163,7 +163,7 @@ def test_ngram_join_of_a_large_family(spark):
 
 @pytest.mark.parametrize("limit", [20_000, 1])
 def test_repeats(spark, docs, rows, limit):
-    out = repeats.remove_repeats(clash(docs, "n_words", "runs", "dk2"), group_limit=limit).collect()
+    out = repeats.remove_repeats(clash(docs, "n_words", "runs", *CLASHING), group_limit=limit).collect()
     key = lambda i: (1 << 63) if i is None else i
     first = {}
     for i, t, *_ in rows:
@@ -184,6 +184,38 @@ def test_repeats(spark, docs, rows, limit):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_tree():
+    """Order, shared lengths and nodes of random runs, against sorting slices."""
+    rnd = random.Random(2)
+    for _ in range(30):
+        runs = [[rnd.randrange(3) for _ in range(rnd.randrange(1, 12))] for _ in range(rnd.randrange(1, 8))]
+        group = [rnd.randrange(2) for _ in runs]
+        symbols = np.array([x for r in runs for x in r])
+        run = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        tree = repeats.SuffixTree(symbols, run, np.array(group)[run])
+        suffix = [(group[i], tuple(r[j:])) for i, r in enumerate(runs) for j in range(len(r))]
+        share = lambda a, b: 0 if a[0] != b[0] else next((k for k, (x, y) in enumerate(zip(a[1], b[1], strict=False)) if x != y), min(len(a[1]), len(b[1])))
+        listed = [suffix[i] for i in tree.order]
+        assert listed == sorted(suffix) and tree.shared.tolist() == [share(a, b) for a, b in zip(listed, listed[1:], strict=False)]
+        want = set()
+        for prefix in {(g, s[:k]) for g, s in suffix for k in range(1, len(s) + 1)}:
+            below = [x for x in suffix if x[0] == prefix[0] and x[1][: len(prefix[1])] == prefix[1]]
+            if len(below) > 1 and min(share(a, b) for a in below for b in below) == len(prefix[1]):
+                want.add((len(prefix[1]), len(below), prefix))
+        assert {(d, b - a, (listed[a][0], listed[a][1][:d])) for d, a, b in tree.nodes()} == want
+
+
+def test_maximal_repeats(spark):
+    rnd = random.Random(5)
+    passage = words(rnd, 62, 10**6)
+    rows = [(i, " ".join(words(rnd, 20, 10**6) + (passage if i < 4 else passage[:53] if i < 6 else []) + words(rnd, 20, 10**6))) for i in range(8)]
+    out = repeats.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert out and {r.occurrences for r in out} <= {4, 6} and {r.id for r in out} == {0} and all(50 <= r.n_words <= 62 for r in out)
+    assert all(r.occurrences == r.documents for r in out)
+    covered = {r.first_word - 20 + j for r in out for j in range(r.n_words)}
+    assert covered == set(range(62)) and min(r.first_word for r in out if r.occurrences == 6) == 20
+
+
 def test_line_dedup(spark, rows):
     line = "the quick brown fox jumps over the lazy dog and runs far away from here today"
     given = [(1, f"{line}\n\nalpha beta gamma"), (2, f"  {line}!\nAlpha beta gamma delta epsilon"), (3, None), (4, ""), (5, "ab\nab\n\n"), (6, "ab"), (None, line), (7, "nothing like any other line in this small table\n" + line + " x")]

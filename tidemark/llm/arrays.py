@@ -173,6 +173,28 @@ def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return coded.dictionary, coded.indices.to_numpy()
 
 
+def whole_groups(batches, keys: list[str]):
+    """Batches of rows in order of the keys, cut anew so that no group of equal keys is in two of them."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        turn = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+        goes_on = bool(held) and all(held[-1].column(k)[-1].as_py() == x[0] for k, x in zip(keys, columns, strict=True))
+        if not goes_on and held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        if not len(turn):
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, turn[-1]))
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = [batch.slice(turn[-1])]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Seen:
     """Keys that a task has met before, with the id of an earlier place: a table of bounded size, so a key may be
     forgotten and is then taken for a new one."""

@@ -181,7 +181,8 @@ def _candidates(percent: int, full_run: int):
             if not len(h):
                 long = long and batch.column("h")[0].as_py() == goes_on
             h, node, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((h, "h"), (node, "node"), (n, "n")))
-            last = int(np.searchsorted(h, h[-1]))  # the posting that may go on
+            turn = np.flatnonzero(h[1:] != h[:-1])
+            last = int(turn[-1]) + 1 if len(turn) else 0  # the posting that may go on
             if last:
                 yield from pairs(h[:last], node[:last], n[:last], long)
                 h, node, n, long = h[last:], node[last:], n[last:], False
@@ -410,27 +411,27 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, si
     h, n = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
     order = np.argsort(h)
     listed = spark.sparkContext.broadcast((h[order], (1 + np.log2(np.maximum(n, 1)[order])).astype(np.int8)))
-    profiles = materialize(docs.transform(in_arrow, _profiles(gram, percent, listed), "id long, dk long, n long, d1 long, prefix array<long>, bins binary"), "profiles")
+    profiles = materialize(docs.transform(in_arrow, _profiles(gram, percent, listed), "id long, dk long, n long, d1 long, prefix array<long>, bins binary"), "profiles", few=True)
     whole = F.struct("n", "prefix", "bins", "dk")  # one row a class, of however many blocks
     classes = profiles.where("length(bins) > 0").groupBy("d1").agg(F.first(whole).alias("x")).select(F.col("d1").alias("node"), "x.*")
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", few=True)
     postings = classes.select(F.explode("prefix").alias("h"), "node", "n").repartition("h").sortWithinPartitions("h", "n", "node")
-    found = materialize(postings.transform(in_arrow, _candidates(percent, full_run), "a long, b long, h long, n long"), "candidates")
+    found = materialize(postings.transform(in_arrow, _candidates(percent, full_run), "a long, b long, h long, n long"), "candidates", few=True)
     near = _near(classes, found.where("h is null").select("a", "b").distinct(), percent)
     long = found.where("h is not null").select("h", F.col("a").alias("node"), "n")
     long = long.join(long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / (8 * side)).alias("sides")), "h").join(classes.select("node", "bins"), "node")
     chains = blocks(long, "h", "node", "n", "bins").transform(in_arrow, _chains(percent), "a long, b long")
-    families = materialize(components(near.union(chains)), "families")
+    families = materialize(components(near.union(chains)), "families", few=True)
     discard(found)
     discard(near)
     placed = classes.select("node", "n", "dk").join(families, "node")
     size = F.greatest(F.count(F.lit(1)) / side, F.sum("n") / (side * 4096))  # classes and bytes of a group are bounded
     sides = placed.groupBy("component").agg(F.ceil(size).alias("sides"))
     placed = placed.join(sides, "component").select("dk", "node", F.col("component").alias("family"), "sides")
-    placed = materialize(placed, "family-members")
+    placed = materialize(placed, "family-members", few=True)
     sets = docs.select("dk", "text").transform(in_arrow, _sets(gram, Sieve(placed, "dk")), "dk long, set binary").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk")
     dealt = blocks(sets, "family", "node", "set")
-    parts = materialize(components(dealt.transform(in_arrow, _families(percent), "a long, b long")), "set-components")
+    parts = materialize(components(dealt.transform(in_arrow, _families(percent), "a long, b long")), "set-components", few=True)
     for table in (families, placed, classes):
         discard(table)
     return profiles, parts
@@ -446,7 +447,7 @@ def blocks(rows: DataFrame, group: str, node: str, *columns: str) -> DataFrame:
 def _near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose histograms allow a link: none that links is lost."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n_{c}"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").transform(in_arrow, _within(percent), "a long, b long"), "set-pairs")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").transform(in_arrow, _within(percent), "a long, b long"), "set-pairs", few=True)
 
 
 def link_groups(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = 5, percent: int = 80, full_run: int = 8, side: int = 256, hot_limit: int = 300_000) -> DataFrame:

@@ -32,10 +32,16 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
+def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends there and lost executors cost nothing.
+
+    few: neighbouring partitions are written together, an eighth of the shuffle partitions but four a core at least, for
+    steps that hold no more of a partition than a batch; thousands of tiny files cost more than they carry.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     spark._jvm.System.gc()  # shuffle files of what came before are cleaned once the driver drops their handles
     out = spark.read.schema(df.schema).parquet(path)
@@ -124,7 +130,7 @@ def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
     Rows with a null end and loops are left out; an empty input gives an empty result.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = materialize(edges.transform(in_arrow, _contract, "a long, b long").distinct(), "edges")
+    now = materialize(edges.transform(in_arrow, _contract, "a long, b long").distinct(), "edges", few=True)
     for _ in range(60):
         count, check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if count <= small:
@@ -139,7 +145,7 @@ def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         star = down.join(low, "a")
         new = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        new = materialize(new, "edges")
+        new = materialize(new, "edges", few=True)
         same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = new
