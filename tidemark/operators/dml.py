@@ -17,9 +17,9 @@ def _by_keys(keys: list[str], left: str, right: str) -> Column:
 def _one_each(changes: DataFrame, keys: list[str]) -> DataFrame:
     """One row a key; rows of one key that differ are an error."""
     row = F.struct(*changes.columns)
-    found = changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.first(row).alias("_row"), F.count_distinct(F.xxhash64(*changes.columns)).alias("_n"))
+    found = changes.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.first(row).alias("_row"), F.count_distinct(F.xxhash64(*changes.columns)).alias("_differ"))
     several = F.raise_error(F.lit("several changes for one key")).cast(changes.schema.simpleString())
-    return found.select(F.when(F.col("_n") == 1, F.col("_row")).otherwise(several).alias("_row")).select("_row.*")
+    return found.select(F.when(F.col("_differ") == 1, F.col("_row")).otherwise(several).alias("_row")).select("_row.*")
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
 
 def dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
-    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    return df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
