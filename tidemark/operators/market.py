@@ -13,6 +13,32 @@ def book_at(deltas: DataFrame, key: str, side: str, price: str, quantity: str, s
     return last.where((F.lower("_d." + action) != "delete") & (F.col("_d." + quantity) > 0)).select(key, side, price, F.col("_d." + quantity).alias(quantity))
 
 
+def snapshots(deltas: DataFrame, key: str, side: str, price: str, quantity: str, sequence: str, action: str, at: DataFrame, at_column: str) -> DataFrame:
+    """The levels of each book at each of a few asked sequence numbers (or times): rows (at, key, side, price, quantity).
+
+    A level's state holds from its delta to the next one of that level, so levels and questions meet by a range; the
+    questions are broadcast and so must be few.
+    """
+    from pyspark.sql import Window
+
+    until = F.lead(sequence).over(Window.partitionBy(key, side, price).orderBy(sequence))
+    states = deltas.withColumn("_until", until).where((F.lower(action) != "delete") & (F.col(quantity) > 0))
+    asked = at.select(F.col(at_column).alias("at")).distinct()
+    if asked.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 snapshots asked for")
+    hit = (F.col(sequence) <= F.col("at")) & (F.col("_until").isNull() | (F.col("_until") > F.col("at")))
+    return states.join(F.broadcast(asked), hit).select("at", key, side, price, quantity)
+
+
+def depth(levels: DataFrame, key: str, side: str, price: str, quantity: str, n: int = 5) -> DataFrame:
+    """The n best levels of each side, numbered from 1, with the quantity so far."""
+    from pyspark.sql import Window
+
+    best = Window.partitionBy(key, F.lower(side)).orderBy(F.when(F.lower(side) == "bid", -F.col(price)).otherwise(F.col(price)))
+    ranked = levels.withColumn("level", F.row_number().over(best)).where(F.col("level") <= n)
+    return ranked.withColumn("total", F.sum(quantity).over(best.rowsBetween(Window.unboundedPreceding, 0))).select(key, side, "level", price, quantity, "total")
+
+
 def top_of_book(levels: DataFrame, key: str, side: str, price: str, quantity: str) -> DataFrame:
     """best_bid, best_ask, spread, mid and depth on either side."""
     bid, ask = F.lower(F.col(side)) == "bid", F.lower(F.col(side)) == "ask"

@@ -6,11 +6,14 @@ the twin that must return the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .database import Database
 from .functions.library import call
-from .operators import dml, indicators, market, timeseries
+from .operators import analytics, dml, indicators, market, timeseries
 from .plans import dialect
 from .session import load
 from .sources import files, line_protocol
@@ -66,34 +69,37 @@ def sample_by_first(spark, sf_dir):
     return timeseries.sample_by(load(spark, sf_dir, "events"), "ts", "1h", {"n": F.count(F.lit(1))}, align="first")
 
 
-ONE_USER = "WITH e AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n, round(sum(value), 6) AS s FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY 1), g AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS bucket FROM e)"
+EACH_TYPE = "WITH e AS (SELECT event_type, user_id % 20 AS g, date_trunc('hour', ts) AS b, count(*) AS n, round(sum(value), 6) AS s FROM events GROUP BY 1, 2, 3), l AS (SELECT event_type, g, min(b) AS lo, max(b) AS hi FROM e GROUP BY 1, 2), g AS (SELECT event_type, g, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS bucket FROM l)"
 
 
-def _one_user(spark, sf_dir, fill):
-    events = load(spark, sf_dir, "events")
-    least = events.agg(F.min("user_id").alias("user_id"))
-    rows = events.join(F.broadcast(least), "user_id")
-    return timeseries.sample_by(rows, "ts", "1h", {"n": F.count(F.lit(1)), "s": F.round(F.sum("value"), 6)}, fill=fill)
+def _by_type(spark, sf_dir, fill):
+    rows = load(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 20)
+    return timeseries.sample_by(rows, "ts", "1h", {"n": F.count(F.lit(1)), "s": F.round(F.sum("value"), 6)}, ["event_type", "g"], fill=fill)
 
 
-@query("sample_by_fill_null", ONE_USER + " SELECT bucket, n, s FROM g LEFT JOIN e ON b = bucket")
+@query("sample_by_fill_null", EACH_TYPE + " SELECT g.event_type, g.g, bucket, n, s FROM g LEFT JOIN e ON g.event_type = e.event_type AND g.g = e.g AND b = bucket")
 def fill_null(spark, sf_dir):
-    return _one_user(spark, sf_dir, "null")
+    return _by_type(spark, sf_dir, "null")
 
 
-@query("sample_by_fill_prev", ONE_USER + " SELECT bucket, n, s FROM g ASOF LEFT JOIN e ON bucket >= b")
+@query("sample_by_fill_prev", EACH_TYPE + " SELECT g.event_type, g.g, bucket, n, s FROM g ASOF LEFT JOIN e ON g.event_type = e.event_type AND g.g = e.g AND bucket >= b")
 def fill_prev(spark, sf_dir):
-    return _one_user(spark, sf_dir, "prev")
+    return _by_type(spark, sf_dir, "prev")
 
 
-@query("sample_by_fill_const", ONE_USER + " SELECT bucket, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM g LEFT JOIN e ON b = bucket")
+@query("sample_by_fill_const", EACH_TYPE + " SELECT g.event_type, g.g, bucket, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM g LEFT JOIN e ON g.event_type = e.event_type AND g.g = e.g AND b = bucket")
 def fill_const(spark, sf_dir):
-    return _one_user(spark, sf_dir, 0)
+    return _by_type(spark, sf_dir, 0)
 
 
-@query("sample_by_fill_linear", ONE_USER + ", p AS (SELECT bucket, p.b AS pb, p.s AS ps, q.b AS qb, q.s AS qs FROM g ASOF LEFT JOIN e p ON bucket >= p.b ASOF LEFT JOIN e q ON bucket <= q.b) SELECT bucket, round(CASE WHEN pb = bucket THEN ps ELSE ps + (qs - ps) * ((epoch_us(bucket) - epoch_us(pb)) / (epoch_us(qb) - epoch_us(pb))) END, 9) AS s FROM p")
+@query("sample_by_fill_linear", EACH_TYPE + ", p AS (SELECT g.event_type, g.g, bucket, p.b AS pb, p.s AS ps, q.b AS qb, q.s AS qs FROM g ASOF LEFT JOIN e p ON g.event_type = p.event_type AND g.g = p.g AND bucket >= p.b ASOF LEFT JOIN e q ON g.event_type = q.event_type AND g.g = q.g AND bucket <= q.b) SELECT event_type, g, bucket, round(CASE WHEN pb = bucket THEN ps ELSE ps + (qs - ps) * ((epoch_us(bucket) - epoch_us(pb)) / (epoch_us(qb) - epoch_us(pb))) END + 1e-9, 4) AS s FROM p")
 def fill_linear(spark, sf_dir):
-    return _one_user(spark, sf_dir, "linear").select("bucket", F.round("s", 9).alias("s"))
+    return _by_type(spark, sf_dir, "linear").select("event_type", "g", "bucket", F.round(F.col("s") + 1e-9, 4).alias("s"))
+
+
+@query("sample_by_fill_prev_keyless", "WITH e AS (SELECT date_trunc('minute', ts) AS b, count(*) AS n FROM events GROUP BY 1), g AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 MINUTE)) AS bucket FROM e) SELECT bucket, n FROM g ASOF LEFT JOIN e ON bucket >= b")
+def fill_prev_keyless(spark, sf_dir):
+    return timeseries.sample_by(load(spark, sf_dir, "events"), "ts", "1m", {"n": F.count(F.lit(1))}, fill="prev")
 
 
 @query("latest_on", "SELECT user_id, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -119,17 +125,49 @@ def asof(spark, sf_dir):
     return timeseries.asof_join(left, right, "ts", "ts", [("user_id", "user_id")], ["value", "event_id"], ["event_id"], prefix="r_")
 
 
-@query("window_join", "SELECT l.event_id AS l_id, r.event_id AS r_id FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 30 MINUTE WHERE l.event_type = 'purchase' AND r.event_type = 'view'")
+@query("asof_join_keyless", "WITH r AS (SELECT ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1) SELECT l.event_id, r.event_id AS r_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN r ON l.ts >= r.ts")
+def asof_keyless(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    left, right = e.where("event_type = 'purchase'").select("event_id", "ts"), e.where("event_type = 'view'")
+    return timeseries.asof_join(left, right, "ts", "ts", [], ["event_id"], ["event_id"], prefix="r_").select("event_id", "r_event_id")
+
+
+@query("asof_join_chunked", "WITH l AS (SELECT * FROM events WHERE event_type = 'click'), r AS (SELECT user_id % 3 AS g, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT l.event_id, r.event_id AS r_event_id FROM l ASOF LEFT JOIN r ON l.user_id % 3 = r.g AND l.ts >= r.ts")
+def asof_chunked(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 3)
+    left, right = e.where("event_type = 'click'").select("event_id", "g", "ts"), e.where("event_type = 'view'")
+    return timeseries.asof_join(left, right, "ts", "ts", [("g", "g")], ["event_id"], ["event_id"], prefix="r_", chunk="1d").select("event_id", "r_event_id")
+
+
+@query("asof_join_tolerance", "WITH r AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT l.event_id, CASE WHEN l.ts - r.ts <= INTERVAL 6 HOUR THEN r.event_id END AS r_event_id FROM (SELECT * FROM events WHERE event_type = 'click') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def asof_tolerance(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    left, right = e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'")
+    return timeseries.asof_join(left, right, "ts", "ts", [("user_id", "user_id")], ["event_id"], ["event_id"], tolerance="6h", prefix="r_").select("event_id", "r_event_id")
+
+
+@query("theta_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey")
+def theta(spark, sf_dir):
+    return timeseries.theta_join(load(spark, sf_dir, "nation"), load(spark, sf_dir, "region"), F.col("n_regionkey") > F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("skew_join", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
+def skewed(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return timeseries.skew_join(lines, load(spark, sf_dir, "part").select("p_partkey", "p_brand"), [("l_partkey", "p_partkey")]).select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("window_join", "SELECT l.event_id AS l_id, r.event_id AS r_id FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 12 HOUR WHERE l.event_type = 'purchase' AND r.event_type = 'view'")
 def window_join(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select(F.col("event_id").alias("l_id"), F.col("user_id").alias("l_user"), F.col("ts").alias("l_ts"))
     right = e.where("event_type = 'view'").select(F.col("event_id").alias("r_id"), F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"))
-    return timeseries.window_join(left, right, "l_ts", "r_ts", "30m", [("l_user", "r_user")]).select("l_id", "r_id")
+    return timeseries.window_join(left, right, "l_ts", "r_ts", "12h", [("l_user", "r_user")]).select("l_id", "r_id")
 
 
-@query("band_join", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 5 AND s_nationkey = c_nationkey")
+@query("band_join", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 300 AND s_nationkey = c_nationkey")
 def band(spark, sf_dir):
-    return timeseries.band_join(load(spark, sf_dir, "supplier"), load(spark, sf_dir, "customer"), "s_acctbal", "c_acctbal", 5.0, [("s_nationkey", "c_nationkey")]).select("s_suppkey", "c_custkey")
+    return timeseries.band_join(load(spark, sf_dir, "supplier"), load(spark, sf_dir, "customer"), "s_acctbal", "c_acctbal", 300.0, [("s_nationkey", "c_nationkey")]).select("s_suppkey", "c_custkey")
 
 
 @query("mark_join", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS matched FROM customer")
@@ -144,8 +182,8 @@ spark_sql("join_full", "SELECT a.k AS ak, b.k AS bk FROM (SELECT c_custkey AS k
 spark_sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey <> n_regionkey")
 spark_sql("join_using_multi", "SELECT r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, customer, nation, region WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY r_name")
 spark_sql("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
-spark_sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
-spark_sql("join_lateral", "SELECT c_custkey, t.m FROM customer, LATERAL (SELECT max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) t WHERE c_custkey % 5 = 0")
+spark_sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000")
+spark_sql("join_lateral", "SELECT c_custkey, t.m FROM customer, LATERAL (SELECT max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) t")
 
 # relational -----------------------------------------------------------------------------------------------
 
@@ -156,7 +194,33 @@ spark_sql("case_forms", "SELECT event_id, CASE event_type WHEN 'click' THEN 1 WH
 spark_sql("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)")
 spark_sql("subquery_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 spark_sql("subquery_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-spark_sql("quantified_all", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT max(p_retailprice) FROM part WHERE p_size = 1)", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 1)")
+spark_sql("quantified_all", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 1)", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 1)")
+spark_sql("quantified_any", "SELECT p_partkey FROM part WHERE p_retailprice < ANY (SELECT p_retailprice FROM part WHERE p_size = 3) AND p_size <> ALL (SELECT p_size FROM part WHERE p_size > 30)")
+spark_sql("in_lists", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
+spark_sql("like_forms", "SELECT p_partkey, p_type LIKE '%A%' AS a, p_type NOT LIKE 'x%' AS b, p_type ILIKE '%a%' AS c, 'a%b' LIKE 'a!%b' ESCAPE '!' AS d FROM part WHERE p_brand LIKE 'Brand#_3'")
+spark_sql("is_null", "SELECT event_id, nullif(event_type, 'click') IS NULL AS a, value IS NOT NULL AS b FROM events")
+spark_sql("nested_case", "SELECT event_id, CASE WHEN value > 10 THEN CASE event_type WHEN 'click' THEN 'c' ELSE 'o' END ELSE 'small' END || '!' AS a FROM events")
+spark_sql("predicate_call", "SELECT p_partkey FROM part WHERE startswith(p_brand, 'Brand#1')", "SELECT p_partkey FROM part WHERE starts_with(p_brand, 'Brand#1')")
+spark_sql("array_subscript", "SELECT vec_id, embedding[0] AS a, embedding[1] + embedding[2] AS b FROM embeddings", "SELECT vec_id, embedding[1] AS a, embedding[2] + embedding[3] AS b FROM embeddings")
+spark_sql("cast_targets", "SELECT event_id, CAST(value AS BIGINT) AS a, CAST(event_id AS DOUBLE) AS b, CAST(user_id AS STRING) AS c, CAST(ts AS DATE) AS d, TRY_CAST(event_type AS INT) AS e, CAST(event_id AS SMALLINT) % 7 AS f FROM events WHERE event_id < 30000", "SELECT event_id, trunc(value)::BIGINT AS a, event_id::DOUBLE AS b, user_id::VARCHAR AS c, ts::DATE AS d, TRY_CAST(event_type AS INT) AS e, event_id::SMALLINT % 7 AS f FROM events WHERE event_id < 30000")
+spark_sql("special_syntax", "SELECT event_id, EXTRACT(YEAR FROM ts) AS a, SUBSTRING(event_type FROM 2 FOR 3) AS b, TRIM(BOTH 'c' FROM event_type) AS c, POSITION('i' IN event_type) AS d, CEIL(value) AS e, ts + INTERVAL '1' DAY AS f FROM events", "SELECT event_id, EXTRACT(YEAR FROM ts)::INT AS a, SUBSTRING(event_type, 2, 3) AS b, TRIM(event_type, 'c') AS c, POSITION('i' IN event_type)::INT AS d, CEIL(value)::BIGINT AS e, ts + INTERVAL 1 DAY AS f FROM events")
+spark_sql("join_using", "SELECT o_orderkey, n FROM orders JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) USING (o_orderkey)")
+spark_sql("join_natural", "SELECT c_custkey, total FROM customer NATURAL JOIN (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) t")
+spark_sql("values_rows", "SELECT col1, col2 FROM VALUES (1, 'a'), (2, 'b'), (3, NULL)", "SELECT col0 AS col1, col1 AS col2 FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL))")
+spark_sql("select_without_from", "SELECT 1 + 2 AS a, upper('x') AS b, CASE WHEN 1 < 2 THEN 'y' END AS c")
+spark_sql("empty_result", "SELECT n_name FROM nation WHERE false")
+spark_sql("union_order_limit", "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region ORDER BY x LIMIT 7")
+spark_sql("order_by_expression", "SELECT p_partkey, p_size * 2 AS d FROM part ORDER BY d DESC, p_partkey % 10, p_partkey LIMIT 40")
+spark_sql("limit_comma", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
+spark_sql("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 5 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+spark_sql("window_default_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events")
+spark_sql("window_named", "SELECT event_id, row_number() OVER w AS rn, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+spark_sql("window_ignore_nulls", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_click FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_click FROM events")
+spark_sql("dialect_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+spark_sql("dialect_latest_of_subquery", "SELECT user_id, event_id FROM (SELECT * FROM events WHERE value > 5 AND event_type <> 'click') AS e LATEST ON ts PARTITION BY user_id ORDER BY user_id LIMIT 50", "SELECT user_id, event_id FROM events WHERE value > 5 AND event_type <> 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 ORDER BY user_id LIMIT 50")
+spark_sql("dialect_nested_sample", "SELECT max(n) AS most, min(n) AS least, count(*) AS buckets FROM (SELECT ts, count(*) AS n FROM events SAMPLE BY 6h ALIGN TO CALENDAR) AS s WHERE n > 1", "SELECT max(n) AS most, min(n) AS least, count(*) AS buckets FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS t, count(*) AS n FROM events GROUP BY 1) WHERE n > 1")
+spark_sql("dialect_first_row", "SELECT ts, event_id, count(*) AS n FROM (SELECT * FROM events WHERE event_id % 1 = 0) e SAMPLE BY 1d ALIGN TO CALENDAR", "SELECT date_trunc('day', ts)::TIMESTAMP AS ts, arg_min(event_id, ts) AS event_id, count(*) AS n FROM events GROUP BY 1")
+spark_sql("dialect_asof_aliases", "SELECT c.event_id, v.event_id AS v_id FROM (SELECT * FROM events WHERE event_type = 'click') AS c ASOF JOIN (SELECT max(event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'view' GROUP BY user_id, ts) AS v ON (c.user_id = v.user_id) WHERE v.event_id IS NOT NULL", "SELECT c.event_id, v.event_id AS v_id FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF JOIN (SELECT max(event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON c.user_id = v.user_id AND c.ts >= v.ts")
 spark_sql("distinct_rows", "SELECT DISTINCT event_type, user_id % 10 AS g FROM events")
 spark_sql("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t")
 spark_sql("set_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
@@ -241,37 +305,39 @@ def count_distinct_exact(spark, sf_dir):
 # indicators -----------------------------------------------------------------------------------------------
 
 
-def _series(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(indicators.ordered(F.col("value"), F.col("ts"), F.col("event_id")).alias("xs"))
+SERIES = "WITH x AS (SELECT event_type, value, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS m, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM events)"
 
 
-SERIES = "WITH x AS (SELECT event_type, value, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM events)"
+def _series(spark, sf_dir):
+    return indicators.series(load(spark, sf_dir, "events"), ["event_type"], "value", "ts", ["event_id"], chunk=86_400_000_000)
 
 
 @query("indicators_averages", SERIES + " SELECT event_type, round(avg(value) FILTER (back <= 20), 6) AS sma, round(sum(value * (21 - back)) FILTER (back <= 20) / 210, 6) AS wma, round(avg(value) FILTER (back <= 20) + 2 * stddev_pop(value) FILTER (back <= 20), 4) AS upper, round(avg(value) FILTER (back <= 20) - 2 * stddev_pop(value) FILTER (back <= 20), 4) AS lower FROM x GROUP BY 1")
 def indicators_averages(spark, sf_dir):
-    up, low = indicators.bollinger(F.col("xs"))
-    return _series(spark, sf_dir).select("event_type", r6(indicators.sma(F.col("xs")), "sma"), r6(indicators.wma(F.col("xs")), "wma"), F.round(up, 4).alias("upper"), F.round(low, 4).alias("lower"))
+    return _series(spark, sf_dir).select("event_type", r6("sma", "sma"), r6("wma", "wma"), F.round("bollinger_upper", 4).alias("upper"), F.round("bollinger_lower", 4).alias("lower"))
 
 
 @query("indicators_moves", SERIES + " SELECT event_type, round(avg(abs(value - prev)) FILTER (back <= 14), 6) AS atr, round(100 - 100 / (1 + sum(greatest(value - prev, 0)) FILTER (back <= 14) / sum(greatest(prev - value, 0)) FILTER (back <= 14)), 6) AS rsi, round(max((peak - value) / peak), 6) AS drawdown FROM x GROUP BY 1")
 def indicators_moves(spark, sf_dir):
-    return _series(spark, sf_dir).select("event_type", r6(indicators.atr(F.col("xs")), "atr"), r6(indicators.rsi(F.col("xs")), "rsi"), r6(indicators.drawdown(F.col("xs")), "drawdown"))
+    return _series(spark, sf_dir).select("event_type", r6("atr", "atr"), r6("rsi", "rsi"), r6("drawdown", "drawdown"))
 
 
 @query("indicators_risk", SERIES + " SELECT event_type, round(stddev_samp(ln(value / prev)) * sqrt(252), 4) AS vol, round(avg(value / prev - 1) / stddev_samp(value / prev - 1) * sqrt(252), 4) AS sharpe FROM x GROUP BY 1")
 def indicators_risk(spark, sf_dir):
-    return _series(spark, sf_dir).select("event_type", F.round(indicators.realized_vol(F.col("xs")), 4).alias("vol"), F.round(indicators.sharpe(F.col("xs")), 4).alias("sharpe"))
+    return _series(spark, sf_dir).select("event_type", F.round("realized_vol", 4).alias("vol"), F.round("sharpe", 4).alias("sharpe"))
+
+
+SMOOTH = "CASE WHEN j.rn = 1 THEN pow(1 - {a}, i.rn - 1) ELSE {a} * pow(1 - {a}, i.rn - j.rn) END"
 
 
-@query("indicators_smoothed")
+@query("indicators_smoothed", SERIES + f", y AS (SELECT i.event_type, i.rn, i.m, sum(j.value * {SMOOTH.format(a='(2.0 / 13)')}) AS f, sum(j.value * {SMOOTH.format(a='(2.0 / 27)')}) AS s, sum(j.value * {SMOOTH.format(a='(2.0 / 21)')}) AS e FROM x i JOIN x j ON i.event_type = j.event_type AND j.rn <= i.rn AND j.rn > i.rn - 600 WHERE i.rn > i.m - 200 GROUP BY 1, 2, 3) SELECT event_type, round(max(e) FILTER (rn = m), 6) AS ema, round(sum((f - s) * CASE WHEN rn = 1 THEN pow(0.8, m - 1) ELSE 0.2 * pow(0.8, m - rn) END), 6) AS macd FROM y GROUP BY 1")
 def indicators_smoothed(spark, sf_dir):
-    return _series(spark, sf_dir).select("event_type", r6(indicators.ema(F.col("xs")), "ema"), r6(indicators.macd_signal(F.col("xs")), "macd"))
+    return _series(spark, sf_dir).select("event_type", r6("ema", "ema"), r6("macd_signal", "macd"))
 
 
-@query("trade_statistics", "WITH t AS (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END AS q, l_extendedprice AS p, l_quantity AS v, l_shipdate AS d, l_orderkey AS o, l_linenumber AS n FROM lineitem) SELECT l_returnflag, round(sum(p * v) / sum(v), 4) AS vwap, round(avg(p), 4) AS twap, round((sum(q) FILTER (q > 0) + coalesce(sum(q) FILTER (q < 0), 0)) / sum(abs(q)), 6) AS imbalance, round(sum(q) FILTER (q > 0) / sum(abs(q)), 6) AS flow, round((arg_max(p, (d, o, n)) - arg_min(p, (d, o, n))) / arg_min(p, (d, o, n)), 6) AS impact FROM t WHERE l_returnflag = 'N' GROUP BY 1")
+@query("trade_statistics", "WITH t AS (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END AS q, l_extendedprice AS p, l_quantity AS v, l_shipdate AS d, l_orderkey AS o, l_linenumber AS n FROM lineitem) SELECT l_returnflag, round(sum(p * v) / sum(v), 4) AS vwap, round(avg(p), 4) AS twap, round((sum(q) FILTER (q > 0) + coalesce(sum(q) FILTER (q < 0), 0)) / sum(abs(q)), 6) AS imbalance, round(sum(q) FILTER (q > 0) / sum(abs(q)), 6) AS flow, round((arg_max(p, (d, o, n)) - arg_min(p, (d, o, n))) / arg_min(p, (d, o, n)), 6) AS impact FROM t GROUP BY 1")
 def trade_statistics(spark, sf_dir):
-    t = load(spark, sf_dir, "lineitem").where("l_returnflag = 'N'")
+    t = load(spark, sf_dir, "lineitem")
     p, v = F.col("l_extendedprice"), F.col("l_quantity")
     q = F.when(F.col("l_linestatus") == "O", v).otherwise(-v)
     return t.groupBy("l_returnflag").agg(F.round(indicators.vwap(p, v), 4).alias("vwap"), F.round(F.avg(p), 4).alias("twap"), r6(indicators.order_imbalance(q), "imbalance"), r6(indicators.trade_flow(q), "flow"), r6(indicators.price_impact(p, F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")), "impact"))
@@ -369,11 +435,50 @@ def order_book(spark, sf_dir):
     return market.top_of_book(market.book_at(d, "sym", "side", "price", "qty", "event_id", "act"), "sym", "side", "price", "qty").select("sym", "best_bid", "best_ask", "spread")
 
 
-@query("tick_round_trip", "SELECT event_type, list(round(value, 2) ORDER BY ts, event_id)[:20] AS prices FROM events GROUP BY 1")
+@query("tick_round_trip", "SELECT user_id, list(round(value, 2) ORDER BY ts, event_id) AS prices FROM events GROUP BY 1")
 def tick_round_trip(spark, sf_dir):
-    xs = F.slice(F.transform("xs", lambda x: F.round(x, 2)), 1, 20)
-    coded = _series(spark, sf_dir).select("event_type", market.delta_encode(xs, 0.01).alias("d"))
-    return coded.select("event_type", F.transform(market.delta_decode(F.col("d"), 0.01), lambda x: F.round(x, 2)).alias("prices"))
+    xs = F.transform("xs", lambda x: F.round(x, 2))
+    ticks = load(spark, sf_dir, "events").groupBy("user_id").agg(indicators.ordered(F.col("value"), F.col("ts"), F.col("event_id")).alias("xs"))
+    coded = ticks.select("user_id", market.delta_encode(xs, 0.01).alias("d"))
+    return coded.select("user_id", F.transform(market.delta_decode(F.col("d"), 0.01), lambda x: F.round(x, 2)).alias("prices"))
+
+
+BOOK = "WITH d AS (SELECT user_id % 5 AS sym, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, round(value / 10, 0) + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 20 END AS price, value + 1 AS qty, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS act, event_id FROM events), m AS (SELECT max(event_id) AS top FROM events), q AS (SELECT top // 4 AS asked FROM m UNION ALL SELECT top // 2 FROM m UNION ALL SELECT top FROM m)"
+
+
+def _deltas(spark, sf_dir):
+    e, even = load(spark, sf_dir, "events"), F.col("event_id") % 2 == 0
+    return e.select((F.col("user_id") % 5).alias("sym"), F.when(even, "bid").otherwise("ask").alias("side"), (F.round(F.col("value") / 10, 0) + F.when(even, 0).otherwise(20)).alias("price"), (F.col("value") + 1).alias("qty"), F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("act"), "event_id")
+
+
+@query("order_book_snapshots", BOOK + ", l AS (SELECT q.asked, d.* FROM q JOIN d ON d.event_id <= q.asked QUALIFY row_number() OVER (PARTITION BY q.asked, sym, side, price ORDER BY event_id DESC) = 1) SELECT asked, sym, side, price, qty FROM l WHERE act <> 'delete' AND qty > 0")
+def order_book_snapshots(spark, sf_dir):
+    d = _deltas(spark, sf_dir)
+    top = load(spark, sf_dir, "events").agg(F.max("event_id").alias("top"))
+    asked = top.select(F.explode(F.array(F.expr("top div 4"), F.expr("top div 2"), "top")).alias("at"))
+    return market.snapshots(d, "sym", "side", "price", "qty", "event_id", "act", asked, "at").withColumnRenamed("at", "asked")
+
+
+@query("order_book_depth", BOOK + ", l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY sym, side, price ORDER BY event_id DESC) = 1), k AS (SELECT sym, side, price, qty, row_number() OVER (PARTITION BY sym, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS level FROM l WHERE act <> 'delete' AND qty > 0) SELECT sym, side, level::INT AS level, price, qty, round(sum(qty) OVER (PARTITION BY sym, side ORDER BY level), 6) AS total FROM k WHERE level <= 3")
+def order_book_depth(spark, sf_dir):
+    levels = market.book_at(_deltas(spark, sf_dir), "sym", "side", "price", "qty", "event_id", "act")
+    return market.depth(levels, "sym", "side", "price", "qty", 3).withColumn("total", F.round("total", 6))
+
+
+def bars(name: str, interval: str, micros: int):
+    """OHLCV bars of a time frame."""
+
+    def run(spark, sf_dir):
+        columns = indicators.ohlcv(F.col("value"), F.col("value"), F.col("ts"), F.col("event_id"))
+        columns["vwap"], columns["volume"] = F.round(columns["vwap"] + 1e-9, 4), F.round(columns["volume"], 4)
+        return timeseries.sample_by(load(spark, sf_dir, "events").withColumn("symbol", F.col("event_type")), "ts", interval, columns, ["symbol"], name="bar")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT event_type AS symbol, make_timestamp(epoch_us(ts) // {micros} * {micros}) AS bar, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 4) AS volume, round(sum(value * value) / sum(value) + 1e-9, 4) AS vwap, count(*) AS trades FROM events GROUP BY 1, 2"
+
+
+for _frame, _seconds in (("1s", 1), ("1m", 60), ("5m", 300), ("15m", 900), ("1h", 3600), ("4h", 14400), ("1d", 86400), ("1w", 604800)):
+    bars(f"bars_{_frame}", _frame, _seconds * 1_000_000)
 
 
 @query("line_protocol", "SELECT 'events' AS measurement, event_type AS kind, value, ts FROM events")
@@ -393,12 +498,140 @@ def session_windows(spark, sf_dir):
     return rollups.sessions(load(spark, sf_dir, "events"), "ts", "2 hours", {"n": F.count(F.lit(1))}, ["user_id"]).select("user_id", "start", "n")
 
 
-spark_sql("dialect_sample_by", "SELECT event_type, sum(event_id) AS s, count(*) AS n FROM events WHERE value > 10 SAMPLE BY 1d ALIGN TO CALENDAR", "SELECT event_type, date_trunc('day', ts) AS ts, sum(event_id)::BIGINT AS s, count(*) AS n FROM events WHERE value > 10 GROUP BY 1, 2")
+spark_sql("dialect_sample_by", "SELECT event_type, sum(event_id) AS s, count(*) AS n FROM events WHERE value > 10 SAMPLE BY 1d ALIGN TO CALENDAR GROUP BY event_type", "SELECT event_type, date_trunc('day', ts) AS ts, sum(event_id)::BIGINT AS s, count(*) AS n FROM events WHERE value > 10 GROUP BY 1, 2")
 spark_sql("dialect_latest_on", "SELECT user_id, event_id FROM events WHERE value > 5 LATEST ON ts PARTITION BY user_id", "SELECT user_id, event_id FROM events WHERE value > 5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
-spark_sql("dialect_explain_free", "SELECT nation.n_name, region.r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 
 
 @query("top_of_partition", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
 def top_of_partition(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return load(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("o_custkey", "o_orderkey")
+
+
+# analytics ------------------------------------------------------------------------------------------------
+
+
+@query("normalise", "SELECT event_id, round((value - min(value) OVER (PARTITION BY event_type)) / (max(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type)), 9) AS normalised FROM events")
+def normalise(spark, sf_dir):
+    return analytics.normalise(load(spark, sf_dir, "events"), "value", ["event_type"]).select("event_id", F.round("normalised", 9).alias("normalised"))
+
+
+@query("zscore", "SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS zscore FROM events")
+def zscore(spark, sf_dir):
+    return analytics.zscore(load(spark, sf_dir, "events"), "value").select("event_id", r6("zscore", "zscore"))
+
+
+@query("row_hash_distinct", "SELECT count(*) AS n, count(DISTINCT (event_type, user_id)) AS kinds FROM events")
+def row_hash_distinct(spark, sf_dir):
+    hashed = analytics.row_hash(load(spark, sf_dir, "events"), ["event_type", "user_id"])
+    return hashed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_hash").alias("kinds"))
+
+
+@query("table_hash_equal", "SELECT count(*) AS rows, true AS same FROM events")
+def table_hash_equal(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    one, two = analytics.table_hash(e), analytics.table_hash(e.orderBy(F.desc("event_id")))
+    return one.crossJoin(two.select(F.col("hash").alias("other"))).select("rows", (F.col("hash") == F.col("other")).alias("same"))
+
+
+@query("numbered", "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS n FROM events")
+def numbered(spark, sf_dir):
+    return analytics.numbered(load(spark, sf_dir, "events").select("event_id", "value"), ["value", "event_id"], "n").select("event_id", "n")
+
+
+@query("every_nth", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events) WHERE (n - 1) % 7 = 0")
+def every_nth(spark, sf_dir):
+    return analytics.every_nth(load(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], 7).select("event_id")
+
+
+@query("split_rows", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS p_type FROM part")
+def split_rows(spark, sf_dir):
+    return analytics.split_rows(load(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", " ")
+
+
+@query("drop_repeats", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
+def drop_repeats(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return analytics.drop_repeats(rows, ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id")
+
+
+@query("top_groups", "SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_groups(spark, sf_dir):
+    return analytics.top_groups(load(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 20)
+
+
+@query("running_totals", "SELECT event_id, round(sum(value) OVER w, 4) AS running_sum, count(value) OVER w AS running_count FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def running_totals(spark, sf_dir):
+    return analytics.running(load(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "value").select("event_id", F.round("running_sum", 4).alias("running_sum"), "running_count")
+
+
+@query("lookup_join", "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def lookup_join(spark, sf_dir):
+    return analytics.lookup(load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation"), [("s_nationkey", "n_nationkey")], ["n_name"]).select("s_suppkey", "n_name")
+
+
+@query("time_range", "SELECT event_id FROM events WHERE ts >= (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND ts < (SELECT min(ts) FROM events) + INTERVAL 3 DAY")
+def time_range(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    low = e.agg(F.min("ts").alias("lo"))
+    return analytics.in_hours(e.crossJoin(F.broadcast(low)), "ts", F.col("lo") + F.expr("INTERVAL 1 DAY"), F.col("lo") + F.expr("INTERVAL 3 DAY")).select("event_id")
+
+
+@query("aggregates_more", "SELECT user_id % 10 AS g, mode(event_type) AS m, list_sort(list(event_id)) AS ids, round(sum(value), 6) AS k FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') <> count(*) FILTER (event_type = 'view')")
+def aggregates_more(spark, sf_dir):
+    e = load(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
+    found = e.groupBy((F.col("user_id") % 10).alias("g")).agg(call("mode", F.col("event_type")).alias("m"), F.array_sort(call("array_agg", F.col("event_id"))).alias("ids"), r6(call("ksum_double", F.col("value")), "k"), F.count_if(F.col("event_type") == "click").alias("c"), F.count_if(F.col("event_type") == "view").alias("v"))
+    return found.where("c <> v").select("g", "m", "ids", "k")
+
+
+@query("approx_count_distinct", "SELECT event_type, true AS near FROM events GROUP BY 1")
+def approx_count_distinct(spark, sf_dir):
+    u = F.col("user_id")
+    return load(spark, sf_dir, "events").groupBy("event_type").agg((F.abs(call("approx_count_distinct", u) / F.count_distinct(u) - 1) < 0.15).alias("near"))
+
+
+# tables and statements ------------------------------------------------------------------------------------
+
+
+def statements(name: str, tables: list[str], sql: list[str], last: str, twin: str):
+    """A query that runs statements on copies of tables in a database of its own."""
+
+    def run(spark, sf_dir):
+        db = Database(spark, f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/db-{uuid.uuid4().hex}")
+        for t in tables:
+            rows = load(spark, sf_dir, t)
+            db.create(t, dict(rows.dtypes), rows=rows)
+        for statement in sql:
+            db.execute(statement)
+        return db.execute(last)
+
+    QUERIES[name] = run
+    ORACLES[name] = twin
+
+
+statements("sql_insert_select", ["nation"], ["CREATE TABLE t (k LONG, name SYMBOL)", "INSERT INTO t SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 1", "INSERT INTO t VALUES (100, 'x'), (101, NULL)"], "SELECT k, name FROM t", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey > 1 UNION ALL VALUES (100, 'x'), (101, NULL)")
+statements("sql_on_conflict_update", ["customer"], ["CREATE TABLE t AS SELECT c_custkey AS k, c_acctbal AS v FROM customer", "INSERT INTO t SELECT c_custkey, 1.0 FROM customer WHERE c_custkey % 3 = 0 ON CONFLICT (k) DO UPDATE SET v = v + EXCLUDED.v"], "SELECT k, v FROM t", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer")
+statements("sql_on_conflict_nothing", ["customer"], ["CREATE TABLE t AS SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0", "INSERT INTO t SELECT c_custkey, 0.0 FROM customer ON CONFLICT (k) DO NOTHING"], "SELECT k, v FROM t", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS v FROM customer")
+statements("sql_merge", ["supplier"], ["CREATE TABLE t AS SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 2 = 0", "MERGE INTO t USING supplier s ON t.k = s.s_suppkey WHEN MATCHED AND t.k % 10 = 0 THEN DELETE WHEN MATCHED THEN UPDATE SET v = t.v + s.s_acctbal WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.s_suppkey, 0.5)"], "SELECT k, v FROM t", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + s_acctbal ELSE 0.5 END AS v FROM supplier WHERE s_suppkey % 10 <> 0 OR s_suppkey % 2 <> 0")
+statements("sql_update_delete", ["orders"], ["UPDATE orders SET o_totalprice = 0 WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", "DELETE FROM orders WHERE o_orderpriority = '5-LOW'"], "SELECT o_orderkey, o_totalprice FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'")
+statements("sql_truncate_vacuum", ["nation"], ["CREATE TABLE t AS SELECT * FROM nation", "TRUNCATE TABLE t", "INSERT INTO t SELECT * FROM nation WHERE n_regionkey = 2", "VACUUM t"], "SELECT n_name FROM t", "SELECT n_name FROM nation WHERE n_regionkey = 2")
+statements("sql_alter", ["region"], ["ALTER TABLE region ADD COLUMN extra INT", "ALTER TABLE region RENAME COLUMN r_name TO name", "ALTER TABLE region ALTER COLUMN r_regionkey TYPE DOUBLE", "ALTER TABLE region RENAME TO places"], "SELECT r_regionkey, name, extra FROM places", "SELECT r_regionkey::DOUBLE AS r_regionkey, r_name AS name, NULL::INT AS extra FROM region")
+statements("sql_partitions", ["events"], ["CREATE TABLE t (event_id LONG, ts TIMESTAMP) TIMESTAMP(ts) PARTITION BY DAY", "INSERT INTO t SELECT event_id, ts FROM events"], "SHOW PARTITIONS t", "SELECT strftime(ts, '%Y-%m-%d') AS partition, count(*) AS rows FROM events GROUP BY 1")
+statements("sql_views", ["events"], ["CREATE VIEW v AS SELECT event_type, count(*) AS n FROM events GROUP BY event_type", "CREATE MATERIALIZED VIEW m AS SELECT max(n) AS most FROM v", "REFRESH MATERIALIZED VIEW m"], "SELECT event_type, n, n = (SELECT most FROM m) AS top FROM v", "SELECT event_type, count(*) AS n, count(*) = max(count(*)) OVER () AS top FROM events GROUP BY 1")
+statements("sql_downsampling", ["events"], ["CREATE TABLE t (event_id LONG, ts TIMESTAMP, value DOUBLE, event_type SYMBOL) TIMESTAMP(ts)", "INSERT INTO t SELECT event_id, ts, value, event_type FROM events WHERE event_id % 2 = 0 AND ts < (SELECT min(ts) + INTERVAL '3' DAY FROM events)", "CREATE DOWNSAMPLING ON t INTERVAL 1d AS d COLUMNS (min(value) AS lo, max(value) AS hi, count(*) AS n) PARTITION BY event_type", "INSERT INTO t SELECT event_id, ts, value, event_type FROM events WHERE event_id % 2 = 0 AND ts >= (SELECT min(ts) + INTERVAL '3' DAY FROM events)", "REFRESH d"], "SELECT event_type, ts, lo, hi, n FROM d", "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS ts, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2")
+statements("sql_describe", ["nation"], [], "DESCRIBE nation", "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(column_name, data_type)")
+statements("sql_information_schema", ["nation", "region"], [], "SELECT table_name, count(*) AS n FROM information_schema.columns GROUP BY table_name", "SELECT 'nation' AS table_name, 3 AS n UNION ALL SELECT 'region', 2")
+
+
+@query("sql_copy", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+def sql_copy(spark, sf_dir):
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/db-{uuid.uuid4().hex}"
+    db = Database(spark, folder)
+    nation = load(spark, sf_dir, "nation")
+    db.create("nation", dict(nation.dtypes), rows=nation)
+    db.execute(f"COPY nation TO '{folder}-out.csv' WITH (FORMAT csv, HEADER true)")
+    db.execute(f"COPY (SELECT * FROM nation WHERE n_regionkey = 1) TO '{folder}-out.parquet'")
+    db.execute("CREATE TABLE back (n_nationkey LONG, n_name STRING, n_regionkey LONG)")
+    db.execute(f"COPY back FROM '{folder}-out.csv' WITH (FORMAT csv)")
+    db.execute(f"COPY back FROM '{folder}-out.parquet'")
+    return db.table("back")
