@@ -6,15 +6,17 @@ last one is filled up with zeros and the payload's length is kept in a `plen` ch
 
 The Huffman table gives the category of a difference of s extra bits a code of 9 - s bits (9 for s = 0, which
 leaves the code of all ones unused), so each sample takes 9 bits and whole frames are coded and decoded as
-arrays. The reader takes the writer's own Huffman table only; it finds frames by the index, and by walking the `movi`
-list where there is no index.
+arrays. The reader takes other files too: baseline motion JPEG with any tables, of which it keeps the luminance, and
+lossless frames with any table; see `jpeg`. It finds frames by the index, whose places count from the `movi` list or from
+the file's start, and by walking that list where there is no index.
 
 Shots: a cut stands before frame i where the grey histograms of frames i - 1 and i differ (half the L1
 distance of 16 bins, as a share of samples) by more than both `least` and mean + `k` deviations of the
 previous `memory` differences since the last cut. Clips are the runs of frames between cuts, with times.
 
-Defined results: a null or empty payload is stored as 64 zero bytes; equal payloads give equal files; a media
-value that isn't such a file, or is null, has no frames, no clips and a null payload.
+Defined results: a null or empty payload is stored as 64 zero bytes; equal payloads, repeated rows too, give equal
+files; very long texts are stored whole; a media value that isn't such a file, or is null, has no frames, no clips and
+a null payload; an empty table gives none; other columns pass through but for the outputs' names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jpeg
 from .arrays import chunks
 from .spark_util import in_arrow
 
@@ -81,27 +84,19 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
 
 
 def decode_frame(data: bytes) -> np.ndarray:
-    """Samples (height, width) of one lossless JPEG file with a table as above."""
-    at, shape, table = 2, None, None
-    if data[:2] != SOI:
-        raise ValueError("no JPEG")
-    while True:
-        mark, kind, size = struct.unpack_from(">BBH", data, at)
-        body = data[at + 4 : at + 2 + size]
-        at += 2 + size
-        if mark != 0xFF:
-            raise ValueError("no marker")
-        if kind == SOF3:
-            precision, height, width, parts = struct.unpack_from(">BHHB", body)
-            shape = (height, width) if (precision, parts) == (8, 1) else None
-        elif kind == DHT:
-            table = _segment(DHT, body)
-        elif kind == SOS:
-            break
-    if shape is None or table != _TABLE or body[3:4] != b"\x01":
-        raise ValueError("another kind of JPEG")
+    """Samples (height, width) of a JPEG file: whole arrays at once where it has the table above, else code by code."""
+    start = len(SOI) + len(_TABLE)
+    head = data[start : start + 2 + 2 + 11]
+    if data[:start] != SOI + _TABLE or len(head) < 15 or head != _frame_head(*struct.unpack_from(">H", head, 5))[start : start + 2 + 2 + 11]:
+        return jpeg.decode(data)
+    shape = (*struct.unpack_from(">H", head, 5), WIDTH)
+    at = len(_frame_head(shape[0]))
+    if data[:at] != _frame_head(shape[0]):
+        return jpeg.decode(data)
     packed = np.frombuffer(data[at : data.rindex(EOI)].replace(b"\xff\x00", b"\xff"), np.uint8)
     count = shape[0] * shape[1]
+    if 8 * len(packed) < 9 * count:
+        raise ValueError("a frame is too short")
     bits = np.unpackbits(packed, count=9 * count).reshape(count, 9)
     diff = DIFFERENCES[bits.astype(np.uint16) @ (1 << _SHIFTS).astype(np.uint16)].astype(np.int32).reshape(shape)
     diff[0, 0] += 128
@@ -165,23 +160,25 @@ def read_avi(data: bytes) -> dict:
     if movi is None:
         raise ValueError("no frames")
     if index:
-        for at in range(*index, 16):
-            name, _, offset, size = struct.unpack_from("<4sIII", data, at)
-            if name[2:] == b"dc":
-                found["frames"].append((movi[0] + offset + 8, size))
+        entries = [struct.unpack_from("<4sIII", data, at) for at in range(index[0], index[1] - 15, 16)]
+        entries = [(name, offset, size) for name, _, offset, size in entries if name[2:] in (b"dc", b"db")]
+        base = movi[0] if entries and data[movi[0] + entries[0][1] : movi[0] + entries[0][1] + 4] == entries[0][0] else 0
+        found["frames"] = [(base + offset + 8, size) for _, offset, size in entries]
     else:
         at = movi[0] + 4
         while at + 8 <= movi[1]:
             size = struct.unpack_from("<I", data, at + 4)[0]
-            if data[at + 2 : at + 4] == b"dc":
+            if data[at + 2 : at + 4] in (b"dc", b"db"):
                 found["frames"].append((at + 8, size))
-            at += 8 + size + (size & 1)
+            at += 12 if data[at : at + 4] == b"LIST" else 8 + size + (size & 1)  # records of a list stand in it
     return found
 
 
 def decode_avi(data: bytes) -> tuple[np.ndarray, float, bytes]:
     """Frames, their rate and the payload; frames are decoded each from its own place in the index."""
     head = read_avi(data)
+    if not head["frames"]:
+        raise ValueError("no frames")
     frames = np.stack([decode_frame(data[a : a + n]) for a, n in head["frames"]])
     raw = frames.tobytes()
     return frames, head["rate"], raw[: head["length"]] if head["length"] is not None else raw
