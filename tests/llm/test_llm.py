@@ -432,6 +432,37 @@ def test_licenses_over_line_feeds():
     assert named("Some words.\nReleased under\nthe MIT License.\nOther words.") == {"MIT"}
 
 
+def test_licenses_whole_texts_and_tags():
+    scanner = licenses.Scanner(0.3, 0.85, 6)
+    named = lambda text: {b["license"] for b in scanner.scan(text)} - {None}
+    wrap = lambda text: "\n".join(text[i : i + 70] for i in range(0, len(text), 70))
+    for name in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause"):
+        text = licenses.TEXTS[name]
+        assert named(f"Copyright (c) 2020 Some Person\n\n{text}") == {name}, name
+        assert name in named("word " * 900 + text + " word" * 900)
+    bsd = licenses.TEXTS["BSD-3-Clause"].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR", "REGENTS OR").replace("the copyright holder nor", "the University nor")
+    for mark in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+        own = bsd
+        for i, m in enumerate(mark, 1):
+            own = own.replace(f" {i}. ", f"\n\n{m}", 1)
+        assert "BSD-3-Clause" in named(own) and "MIT" not in named(own)
+    assert named("// SPDX-License-Identifier: Apache-2.0\nint x;") == {"Apache-2.0"}
+    assert "MIT OR GPL-2.0-only WITH Classpath-exception-2.0" in named("# SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)")
+    assert named("Licensed under the EUPL-1.2.") == {"EUPL-1.2"} and named("Distributed under the Boost Software License, Version 1.0.") == {"BSL-1.0"}
+    assert named("This work is licensed under the GNU General Public License, version\n2. More words.") == {"GPL-2.0"}
+
+
+def test_licenses_of_tables(spark):
+    """Nulls, repeated rows and very long texts; each text's blocks are those of the scanner alone."""
+    long = "plain words here. " * 40_000 + "Released under the MIT License. " + "more words. " * 1000
+    given = [(1, long), (2, "All rights reserved."), (2, "All rights reserved."), (None, "Licensed under CC0 1.0."), (3, None)]
+    df = clash(spark.createDataFrame(given, "doc_id long, text string"), *CLASHING)
+    out = licenses.scan(df).collect()
+    scanner = licenses.Scanner(0.3, 0.85, 6)
+    assert len(out) == 5 and all([b.license for b in r.blocks] == [b["license"] for b in scanner.scan(r.text or "")] for r in out)
+    assert {r.doc_id: [b.license for b in r.blocks if b.license] for r in out} == {1: ["MIT"], 2: ["All-Rights-Reserved"], None: ["CC0-1.0"], 3: []}
+
+
 def test_media(spark, docs, rows):
     out = media.features(media.store(clash(docs, "media", "video"))).collect()
     want = Counter()

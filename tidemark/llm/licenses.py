@@ -9,10 +9,14 @@ size that they save. The best ones are then confirmed by their exact wording: wo
 the block are aligned, and a template holds if at least `agree` of its words stand in the block in order and no
 difference touches a word that tells licences apart (numbers, versions, names, conditions). Blocks of several lines or over 60 words are
 held against templates of 20 words or more; shorter notices stand in sentences of their own. Of several that
-hold the one with fewest differing words wins, then the one that saves most, then the first by name.
+hold the one wins that explains most words, each difference counting against two, then the one with fewest differing
+words, then the one that saves most, then the first by name. Templates are notices and whole texts of short licences.
+
+`SPDX-License-Identifier:` tags name their licence, or an expression of names, themselves: they are blocks of their own.
 
 Defined results: a null or empty text has no blocks; a block that no template explains is counted, with no
-licence; equal texts have equal results. All blocks of a text are scanned, of whatever number.
+licence; equal texts, repeated rows too, have equal results. All blocks of a text are scanned, of whatever number, and
+very long texts whole; an empty table gives none; other columns pass through but for the output's name.
 """
 
 from __future__ import annotations
@@ -62,8 +66,32 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
     "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0."],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ],
+    "EUPL-1.2": ["Licensed under the EUPL-1.2.", "Licensed under the European Union Public Licence, version 1.2."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "WTFPL": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
+#: Whole texts of short licences, of which the notices above are parts.
+TEXTS: dict[str, str] = {
+    "MIT": TEMPLATES["MIT"][2] + " " + "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": TEMPLATES["ISC"][0] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense": TEMPLATES["Unlicense"][0] + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": TEMPLATES["Zlib"][0] + " 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+_KEEP = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEXTS["BSD-2-Clause"] = " ".join([TEMPLATES["BSD-2-Clause"][0], _KEEP, _AS_IS])
+TEXTS["BSD-3-Clause"] = " ".join([TEMPLATES["BSD-2-Clause"][0], _KEEP, "3. " + TEMPLATES["BSD-3-Clause"][1], _AS_IS])
+for _name, _text in TEXTS.items():
+    TEMPLATES.setdefault(_name, []).append(_text)
+#: Tags that name a licence: an expression of names joined by AND, OR and WITH.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Za-z0-9.+-]+(?:\)(?=[ \t]+(?:AND|OR|WITH)\b))?)*)")
 #: Words that tell licences apart; a difference in one of them refutes a template.
 TELLING = frozenset("not no mit apache gnu bsd lesser affero general public cc cc0 by nc nd sa sharealike noncommercial noderivatives attribution mozilla isc neither 2 3 4 1 0 v version clause domain reserved unencumbered redistribution".split())
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|permission (is hereby|to use)|redistribut|public domain|\bcc[ -](by|0)|\bcc0\b|rights reserved|unencumbered|endorse or promote"
@@ -74,10 +102,12 @@ REACH = 3 * max(len(text) for wordings in TEMPLATES.values() for text in wording
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s]))+[.!?:]*")
 _WRAPPED = re.compile(r"(?:[^.!?]|[.!?](?=[^\s]))+[.!?:]*")
 _BLANK = re.compile(r"\n\s*\n")
+_ITEM = re.compile(r"(?<=[.;:])\s+\d{1,2}[.)](?=\s|$)")
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-case words and numbers, without the numbers of a list's items."""
+    return WORD.findall(_ITEM.sub(" ", text).lower())
 
 
 def windows(text: str, lo: int, hi: int, trigger: re.Pattern) -> list[tuple[int, int]]:
@@ -135,6 +165,7 @@ class Scanner:
             for text in wordings:
                 raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, words(text), zstandard.ZstdCompressor(level=3, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        self.wordings = {name: [" ".join(words(t)) for t in texts] for name, texts in TEMPLATES.items()}
         self.known: dict[str, tuple | None] = {}
 
     @classmethod
@@ -164,7 +195,8 @@ class Scanner:
             if TELLING.intersection(missing) or TELLING.intersection(added):
                 continue
             difference = ["-" + w for w in missing] + ["+" + w for w in added]
-            key = (len(difference), -saved, name)
+            # a whole text with a few words changed explains more than a sentence of it that is there to the letter
+            key = (2 * len(difference) - sum(b.size for b in hit), len(difference), -saved, name)
             if best is None or key < best[0]:
                 best = (key, (name, int(saved), len(difference), difference))
         return best[1] if best else None
@@ -178,6 +210,8 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         out = []
+        for tag in TAG.finditer(text):
+            out.append({"start": tag.start(), "length": tag.end() - tag.start(), "license": " ".join(tag[1].split()), "saved": 0, "n_differences": 0, "differences": []})
         for start, length, block in blocks(text, self.trigger):
             found = self.found(block)
             if "\n" in text[start : start + length] and "\n" not in block:  # a wrapped sentence: counts where it adds a licence
@@ -191,6 +225,17 @@ class Scanner:
             inside = {b["license"] for b in out if b["start"] < start + length and start < b["start"] + b["length"]}
             if found and found[0] not in inside:
                 out.append({"start": start, "length": length, "license": found[0], "saved": found[1], "n_differences": found[2], "differences": found[3]})
+        return self.nested(text, out)
+
+    def nested(self, text: str, out: list[dict]) -> list[dict]:
+        """Blocks with the wording of a longer licence that a block around them has are parts of that licence."""
+        named = [b for b in out if b["license"]]
+        for x in named:
+            for y in named:
+                if x["license"] != y["license"] and y["length"] > x["length"] and y["start"] <= x["start"] and x["start"] + x["length"] <= y["start"] + y["length"]:
+                    own = " ".join(words(text[x["start"] : x["start"] + x["length"]]))
+                    if any(own in whole for whole in self.wordings.get(y["license"], ())):
+                        x["license"] = y["license"]
         return out
 
 
