@@ -323,6 +323,10 @@ def test_fingerprints(spark, rows):
     assert [tuple(r)[-1] for r in fingerprints.fingerprint_pairs(df.where("doc_id = 5")).collect()] == [1.0]
     twice = df.where("doc_id = 5").union(df.where("doc_id = 5")).union(spark.createDataFrame([(None, "q")], "doc_id long, text string"))
     assert fingerprints.fingerprint_pairs(twice).count() == 3
+    nulls = spark.createDataFrame([(None, "aa bb"), (None, "cc dd"), (None, None)], "doc_id long, text string")
+    order = ["", "aa bb", "cc dd"]
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + order[(i + 1) % 3][: len(t) // 2]).encode()).hexdigest() for i, t in enumerate(order)}
+    assert {r.edited_sha256 for r in fingerprints.fingerprint_pairs(nulls).collect()} == want
 
 
 def test_language(spark, docs):
@@ -395,6 +399,9 @@ def test_toxicity(spark):
     out = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert all((out[i] >= 0.3) == bool(y) for i, _, y in held) and all(out[i] < 0.3 for i in (900, 901, 902))
+    long = spark.createDataFrame([(1, "plain " * 60_000 + "nastyword " * 20_000), (2, "plain words"), (2, "plain words")], "doc_id long, text string")
+    scores = [r.score for r in toxicity.score(clash(long, *CLASHING), model).orderBy("doc_id").collect()]
+    assert scores[0] >= 0.3 > scores[1] == scores[2]
     flat = toxicity.fit(docs, labels.where("toxic = 0"))
     assert {r.score for r in toxicity.score(docs, flat).collect()} == {0.0}
     assert toxicity.score(empty(spark), toxicity.fit(empty(spark), labels.where("false"))).count() == 0

@@ -14,8 +14,9 @@ ids themselves, each range is one window, and its first row is also sent to the
 are counted and sampled where their row lies, so that texts are shuffled once and terms never.
 
 Defined results: a null text is empty; a text without words has the fingerprint '' and likeness 1 to another
-such, 0 to any other; equal texts have equal fingerprints; rows with one id follow each other by text, null ids
-come last; an empty table gives no rows; of other columns none is kept.
+such, 0 to any other; equal texts have equal fingerprints; very long texts are taken whole; ids must be whole numbers;
+rows with one id follow each other by text, null ids come last; repeated rows are kept; an empty table gives no rows;
+of other columns none is kept.
 """
 
 from __future__ import annotations
@@ -76,10 +77,10 @@ def _ranges(docs: DataFrame, key: str, target_bytes: int) -> tuple[list[int], in
     """Ids that cut the table into ranges, descending, and a number of partitions for it."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     partitions = int(min(100_000, max(8, size // target_bytes)))
-    count = min(20_000, 4 * partitions)
+    count = min(100_000, 4 * partitions)
     shares = [i / count for i in range(1, count + 1)]
-    found = docs.agg(F.percentile_approx(key, shares, 100_000).alias("cuts")).first()["cuts"]
-    return sorted({int(x) for x in found or [0]}, reverse=True), partitions
+    found = docs.agg(F.percentile_approx(key, shares, max(100_000, 4 * count)).alias("cuts")).first()["cuts"]
+    return sorted({int(x) for x in found or []}, reverse=True), partitions
 
 
 def _range_of(key: Column, cuts: list[int]) -> Column:
@@ -95,8 +96,10 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
 def neighbours(docs: DataFrame, key: str, target_bytes: int) -> DataFrame:
     """Rows (range, nth, guard, key, text, next_text) in descending key order; guards repeat the next range's first row."""
     cuts, partitions = _ranges(docs, key, target_bytes)
-    own = docs.withColumn("range", _range_of(F.col(key), cuts).cast("int"))
-    first = F.col(key) == F.element_at(F.lit(cuts), F.col("range") + 1)
+    own = docs.withColumn("range", _range_of(F.col(key), cuts or [0]).cast("int"))
+    # a table of null keys alone is one range, each of whose rows may be the first
+    first = F.col(key) == F.element_at(F.lit(cuts), F.col("range") + 1) if cuts else F.lit(True)
+    cuts = cuts or [0]
     before = F.pmod(F.col("range") - 1, F.lit(len(cuts)))
     copies = F.when(first, F.array(F.struct("range", F.lit(False).alias("guard")), F.struct(before.alias("range"), F.lit(True).alias("guard"))))
     copies = copies.otherwise(F.array(F.struct("range", F.lit(False).alias("guard"))))

@@ -212,7 +212,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", te
             )
 
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", 3 << 20):
                 key_type = part.schema.field("key").type
                 ids, at = words.encode(*text_buffer(part.column("text")))
                 for i, (k, n) in enumerate(zip(part.column("key").to_pylist(), part.column("loss").to_pylist(), strict=True)):

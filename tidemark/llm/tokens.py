@@ -11,7 +11,7 @@ from .arrays import spread
 class Memo:
     """Token ids of distinct byte strings; it is emptied once it holds `most` strings."""
 
-    def __init__(self, encode_many, most: int = 150_000):
+    def __init__(self, encode_many, most: int = 300_000):
         self.encode_many, self.most = encode_many, most
         self.clear()
 

@@ -6,11 +6,12 @@ lexicon itself is learned: words, and starts and ends of words, whose document f
 rows is far above that in the others. Trees are fitted by histogram on features from lexicons of other folds,
 so that the lexicon's fit doesn't leak; out-of-fold margins give the isotonic calibration.
 
-Training collects a bounded sample: at most about `per_class` rows a class, chosen by a hash of the key and
-weighted back to their number.
+Training collects a bounded sample: about `per_class` rows a class, the first by a hash of the key and at most four
+times as many, with CHARACTERS characters of each text, weighted back to their number. Scores are of whole texts.
 
 Defined results: a null or empty text is scored as one without words; where labels lack one of the classes the
-score is the share of toxic rows, 0 if there are none; equal texts have equal scores; other columns pass
+score is the share of toxic rows, 0 if there are none; equal texts, repeated rows too, have equal scores; very long
+texts are taken whole; an empty table gives none; other columns pass
 through unless they bear an output's name, in which case the output replaces them.
 """
 
@@ -52,6 +53,10 @@ class Model:
     constant: float | None = None
 
 
+#: Characters of a training text.
+CHARACTERS = 50_000
+
+
 def keys(word: str) -> list[str]:
     """A word's entries in a lexicon: itself, its starts and its ends."""
     n = len(word)
@@ -309,9 +314,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return train([], [], [])
     share = {y: min(1.0, per_class / n) for y, n in counts.items()}
     draw = F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / F.lit(1_000_003)
-    picked = rows.where(draw < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))).limit(4 * per_class)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    found = texts.join(F.broadcast(picked), "k").select("k", "t", "y").limit(8 * per_class).collect()
+    picked = rows.where(draw < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))).orderBy(draw, "k", "y").limit(4 * per_class)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.substring(F.col(text), 1, CHARACTERS).alias("t"))
+    found = texts.join(F.broadcast(picked), "k").select("k", "t", "y").orderBy("k", "t", "y").limit(8 * per_class).collect()
     found.sort(key=lambda r: (str(r["k"]), r["t"], r["y"]))
     return train([r["t"] for r in found], [r["y"] for r in found], [1 / share[r["y"]] for r in found])
 
@@ -326,7 +331,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         learned: Model = shared.value
         words = Words(learned.lexicon)
         for batch in batches:
-            for part in chunks(batch, text, 4 << 20):
+            for part in chunks(batch, text, 2 << 20):
                 if learned.constant is not None:
                     found = np.full(part.num_rows, learned.constant)
                 else:
