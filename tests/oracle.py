@@ -46,4 +46,5 @@ def compare(spark, folder: str, query, sql: str) -> str:
     want = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in rows), key=repr)
     if got == want:
         return ""
-    return f"{len(got)} and {len(want)} rows; " + repr([p for p in zip(got, want, strict=False) if p[0] != p[1]][:2])
+    wrong = {c for g, w in zip(got, want, strict=False) for c, x, y in zip(order, g, w, strict=True) if x != y} if len(got) == len(want) else "?"
+    return f"{len(got)} and {len(want)} rows, columns {wrong}; " + repr([p for p in zip(got, want, strict=False) if p[0] != p[1]][:2])

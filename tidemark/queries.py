@@ -508,6 +508,23 @@ def top_of_partition(spark, sf_dir):
     return load(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("o_custkey", "o_orderkey")
 
 
+# functions by name in SQL ---------------------------------------------------------------------------------
+
+spark_sql("sql_functions_text", "SELECT p_partkey, to_uppercase(p_name) AS a, to_lowercase(p_brand) AS b, string_length(p_name) AS c, str_concat(p_brand, '/', p_name) AS d, str_pos('a', p_name) AS e, word_count(p_name) AS f, count_char(p_name, 'a') AS g, snake_case(p_brand) AS h, swap_case(p_type) AS i, is_alpha(p_type) AS j, is_digit(p_brand) AS k, is_upper(p_brand) AS l, is_lower(p_name) AS m, is_blank(p_name) AS n, truncate_str(p_name, 4) AS o, pad(p_type, 12) AS p, center(p_type, 12) AS q, slug(p_brand) AS r, quote_ident(p_brand) AS s, escape_sql(p_name) AS t, title_case_ex(p_name) AS u, is_numeric(p_brand) AS v, byte_length(p_name) AS w, char_code(p_name) AS x, regexp_match(p_name, '[aeiou]{2}') AS y, glob(p_brand, 'Brand#?*') AS z FROM part",
+          "SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b, length(p_name)::INT AS c, p_brand || '/' || p_name AS d, instr(p_name, 'a')::INT AS e, len(string_split(trim(p_name), ' '))::INT AS f, (length(p_name) - length(replace(p_name, 'a', '')))::INT AS g, lower(p_brand) AS h, translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ') AS i, regexp_full_match(p_type, '[A-Za-z]+') AS j, false AS k, p_brand = upper(p_brand) AS l, p_name = lower(p_name) AS m, false AS n, left(p_name, 4) AS o, repeat(' ', greatest(ceil((12 - length(p_type)) / 2), 0)::INT) || p_type || repeat(' ', greatest(floor((12 - length(p_type)) / 2), 0)::INT) AS p, repeat(' ', greatest(floor((12 - length(p_type)) / 2), 0)::INT) || p_type || repeat(' ', greatest(ceil((12 - length(p_type)) / 2), 0)::INT) AS q, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') AS r, '\"' || p_brand || '\"' AS s, replace(p_name, '''', '''''') AS t, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS u, false AS v, strlen(p_name)::INT AS w, ascii(p_name) AS x, regexp_matches(p_name, '[aeiou]{2}') AS y, p_brand LIKE 'Brand#_%' AS z FROM part")
+spark_sql("sql_functions_numbers", "SELECT l_orderkey, l_linenumber, abs_long(l_orderkey - 5000) AS a, floor_double(l_extendedprice) AS b, ceil_double(l_extendedprice) AS c, round_half_even(l_quantity / 2) AS d, remainder(l_orderkey, 9) AS e, lcm(l_linenumber, 6) AS f, clamp(l_quantity, 10D, 20D) AS g, lerp(0D, l_quantity, 0.5D) AS h, map_range(l_quantity, 0D, 50D, 0D, 100D) AS i, copysign(l_quantity, l_tax - 0.04D) AS j, next_power_of_two(l_linenumber) AS k, square(l_linenumber) AS l, is_odd(l_orderkey) AS m, is_positive(l_tax) AS n, is_zero(l_tax) AS o, leading_zeros(l_orderkey) AS p, trailing_zeros(l_orderkey) AS q, popcount(l_partkey) AS r, safe_subtract(l_quantity, 1D) AS s, to_bin(l_linenumber) AS t, to_oct(l_orderkey) AS u, to_hex_ex(l_orderkey) AS v, set_bit(l_linenumber, 4) AS w, max_of(l_orderkey, l_partkey) AS x, min_of(l_orderkey, l_partkey) AS y, nullif_zero(l_tax) AS z FROM lineitem",
+          "SELECT l_orderkey, l_linenumber, abs(l_orderkey - 5000) AS a, floor(l_extendedprice) AS b, ceil(l_extendedprice) AS c, round_even(l_quantity / 2, 0) AS d, l_orderkey % 9 AS e, lcm(l_linenumber, 6)::BIGINT AS f, least(greatest(l_quantity, 10), 20) AS g, l_quantity * 0.5 AS h, l_quantity * 100 / 50 AS i, CASE WHEN l_tax - 0.04::DOUBLE < 0 THEN -l_quantity ELSE l_quantity END AS j, CASE WHEN l_linenumber <= 1 THEN 1 WHEN l_linenumber = 2 THEN 2 WHEN l_linenumber <= 4 THEN 4 ELSE 8 END AS k, l_linenumber * l_linenumber AS l, l_orderkey % 2 = 1 AS m, l_tax > 0 AS n, l_tax = 0 AS o, (64 - length(ltrim(bin(l_orderkey), '0')))::INT AS p, CASE WHEN l_orderkey = 0 THEN 64 ELSE length(bin(l_orderkey)) - length(rtrim(bin(l_orderkey), '0')) END::INT AS q, bit_count(l_partkey)::INT AS r, l_quantity - 1 AS s, ltrim(bin(l_linenumber), '0') AS t, printf('%o', l_orderkey) AS u, printf('%x', l_orderkey) AS v, (l_linenumber | 16)::BIGINT AS w, greatest(l_orderkey, l_partkey) AS x, least(l_orderkey, l_partkey) AS y, nullif(l_tax, 0) AS z FROM lineitem")
+spark_sql("sql_functions_dates", "SELECT event_id, year_of(ts) AS a, month_of_year(ts) AS b, hour_of_day(ts) AS c, day_of_year(ts) AS d, quarter_of_year(ts) AS e, first_day_of_month(ts) AS f, last_day_of_month(ts) AS g, first_day_of_year(ts) AS h, first_day_of_quarter(ts) AS i, first_day_of_week(ts) AS j, nanos_to_millis(ts) AS k, is_business_day(ts) AS l, is_leap_year_fn(ts) AS m, timestamp_add('hour', 5, ts) AS n, timestamp_add('month', 1, ts) AS o, timestamp_ceil('day', ts) AS p, strftime(ts, '%d/%m/%Y %H') AS q, date_bin(900000000, ts, TIMESTAMP_NTZ '2024-01-01') AS r, time_bucket(21600000000, ts) AS s, years_between(ts, TIMESTAMP_NTZ '2020-05-05') AS t, extract_epoch(ts) AS u, extract_millisecond(ts) AS v, at_timezone(ts, 'Asia/Tokyo') AS w, to_pg_date(ts) AS x, ohlcv_bar_align(epoch_nanos(ts), '4h') AS y, interval_to_nanos('90m') AS z FROM events",
+          "SELECT event_id, year(ts)::INT AS a, month(ts)::INT AS b, hour(ts)::INT AS c, dayofyear(ts)::INT AS d, quarter(ts)::INT AS e, date_trunc('month', ts)::TIMESTAMP AS f, last_day(ts)::TIMESTAMP AS g, date_trunc('year', ts)::TIMESTAMP AS h, date_trunc('quarter', ts)::TIMESTAMP AS i, date_trunc('week', ts)::TIMESTAMP AS j, epoch_us(ts) // 1000 AS k, dayofweek(ts) NOT IN (0, 6) AS l, dayofyear(make_date(year(ts), 12, 31)) = 366 AS m, ts + INTERVAL 5 HOUR AS n, ts + INTERVAL 1 MONTH AS o, CASE WHEN date_trunc('day', ts) = ts THEN ts ELSE date_trunc('day', ts) + INTERVAL 1 DAY END AS p, strftime(ts, '%d/%m/%Y %H') AS q, time_bucket(INTERVAL 15 MINUTE, ts) AS r, time_bucket(INTERVAL 6 HOUR, ts) AS s, (year(ts) - 2020)::INT AS t, epoch_us(ts) / 1e6 AS u, ((epoch_us(ts) % 1000000) // 1000) AS v, ts + INTERVAL 9 HOUR AS w, date_trunc('day', ts)::TIMESTAMP AS x, epoch_us(ts) // 14400000000 * 14400000000000 AS y, 5400000000000 AS z FROM events")
+spark_sql("sql_functions_logic", "SELECT event_id, ifnull_ex(nullif(event_type, 'view'), 'none') AS a, nvl2_ex(nullif(event_type, 'view'), 1, 0) AS b, case_when(value > 50, 'hi', 'lo') AS c, switch(event_type, 'click', 1, 'view', 2, 9) AS d, safe_cast_int(event_type) AS e, to_boolean('true') AS f, cast_to_int('3.9') AS g, is_null_fn(value) AS h, not_null(event_type) AS i, and_boolean_boolean(value > 1, value < 9) AS j, not_boolean(value > 50) AS k, pg_typeof(event_type) AS l, typecast(event_id) AS m, coalesce_str(NULL, event_type) AS n, nullifempty('') AS o, zeroifnull_ex(NULL) AS p, lt_double_double(value, 10D) AS q, mul_long_long(event_id, 3) AS r, cast_double_to_int(value) AS s FROM events",
+          "SELECT event_id, coalesce(nullif(event_type, 'view'), 'none') AS a, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS b, CASE WHEN value > 50 THEN 'hi' ELSE 'lo' END AS c, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 9 END AS d, NULL::BIGINT AS e, true AS f, 3 AS g, value IS NULL AS h, event_type IS NOT NULL AS i, value > 1 AND value < 9 AS j, NOT value > 50 AS k, 'text' AS l, 'i64' AS m, event_type AS n, NULL::VARCHAR AS o, 0 AS p, value < 10 AS q, event_id * 3 AS r, trunc(value)::INT AS s FROM events")
+spark_sql("sql_functions_market", "SELECT o_orderkey, margin_required(o_totalprice, 2D, 5D) AS a, liquidation_price(o_totalprice, 10D, CASE WHEN o_orderstatus = 'F' THEN 'long' ELSE 'short' END) AS b, funding_payment(o_totalprice, 0.5D, 2D) AS c, taker_buy_volume(o_totalprice, 'BUY') AS d, taker_sell_volume(o_totalprice, 'buy') AS e, quote_volume(o_totalprice, 2D) AS f, delta(o_totalprice, 'sell') AS g, delta_pct(o_totalprice, o_totalprice / 3) AS h, order_fill_pct(1D, 4D) AS i, is_fully_filled(2D, 2D) AS j, remaining_qty(o_totalprice, 1D) AS k, effective_price(o_totalprice, 4D) AS l, ohlcv_vwap(o_totalprice, 0D) AS m, inet_ntoa(o_orderkey) AS n, inet_aton('10.0.0.7') AS o, network('10.1.2.3/16') AS p, masklen('10.0.0.0/9') AS q FROM orders",
+          "SELECT o_orderkey, o_totalprice * 2 / 5 AS a, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * (1 - 0.1::DOUBLE) ELSE o_totalprice * (1 + 0.1::DOUBLE) END AS b, o_totalprice * 0.5 * 2 AS c, o_totalprice AS d, 0 AS e, o_totalprice * 2 AS f, -o_totalprice AS g, (o_totalprice - o_totalprice / 3) / (o_totalprice + o_totalprice / 3) * 100 AS h, 25 AS i, true AS j, o_totalprice - 1 AS k, o_totalprice / 4 AS l, NULL::DOUBLE AS m, (o_orderkey >> 24 & 255) || '.' || (o_orderkey >> 16 & 255) || '.' || (o_orderkey >> 8 & 255) || '.' || (o_orderkey & 255) AS n, 167772167 AS o, '10.1.0.0/16' AS p, 9 AS q FROM orders")
+spark_sql("sql_indicators", "SELECT event_type, round(sma(value), 6) AS sma, round(wma(value), 6) AS wma, round(rsi(value), 6) AS rsi, round(drawdown(value), 6) AS drawdown, round(trade_flow(value - 50), 6) AS flow FROM (SELECT event_type, value, event_id AS ts FROM events) e GROUP BY event_type",
+          "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS prev, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS peak FROM events) SELECT event_type, round(avg(value) FILTER (back <= 20), 6) AS sma, round(sum(value * (21 - back)) FILTER (back <= 20) / 210, 6) AS wma, round(100 - 100 / (1 + sum(greatest(value - prev, 0)) FILTER (back <= 14) / sum(greatest(prev - value, 0)) FILTER (back <= 14)), 6) AS rsi, round(max((peak - value) / peak), 6) AS drawdown, round(sum(greatest(value - 50, 0)) / sum(abs(value - 50)), 6) AS flow FROM x GROUP BY 1")
+spark_sql("dialect_first_last", "SELECT ts, first(value) AS open, last(value) AS close, max(value) AS high, count(*) AS n FROM events SAMPLE BY 4h ALIGN TO CALENDAR", "SELECT time_bucket(INTERVAL 4 HOUR, ts) AS ts, arg_min(value, ts) AS open, arg_max(value, ts) AS close, max(value) AS high, count(*) AS n FROM events GROUP BY 1")
+
+
 # analytics ------------------------------------------------------------------------------------------------
 
 
