@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import base64
+import unicodedata
+
 import numpy as np
 
 from .arrays import spread
 
+#: Latin, Greek and Cyrillic letters that normal forms and lower case leave single letters.
+PLAIN = frozenset(c for c in map(chr, range(0x41, 0x530)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c).lower().isalpha())
+
 
 class Memo:
     """Token ids of distinct byte strings; it is emptied once it holds `most` strings."""
 
-    def __init__(self, encode_many, most: int = 300_000):
+    def __init__(self, encode_many, most: int = 500_000):
         self.encode_many, self.most = encode_many, most
         self.clear()
 
@@ -50,7 +55,7 @@ def by_marks(counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def word_encoder(path: str, block: int = 4000):
     """encode_many for a tokenizers file that drops white space and marks the last id of each of its own words.
 
-    Many strings are encoded a call. Those of ASCII letters alone are one word, those of ASCII digits one a digit,
+    Many strings are encoded a call. Those of PLAIN letters alone are one word, those of ASCII digits one a digit,
     so the marks tell the strings apart; all others, whose normal form may have other word borders than they
     themselves (a capital I with a dot becomes two words), are told apart by the offsets of their ids.
     """
@@ -73,7 +78,7 @@ def word_encoder(path: str, block: int = 4000):
 
     def encode_many(strings: list[bytes]):
         words = [s.decode("utf-8") for s in strings]
-        counts = np.array([0 if not w.isascii() else 1 if w.isalpha() else len(w) if w.isdigit() else 0 for w in words])
+        counts = np.array([1 if PLAIN.issuperset(w) else len(w) if w.isascii() and w.isdigit() else 0 for w in words])
         parts, lengths, order = [], np.zeros(len(words), np.int64), []
         for kind in (np.flatnonzero(counts), np.flatnonzero(counts == 0)):
             for at in range(0, len(kind), block):
