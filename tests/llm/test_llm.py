@@ -589,6 +589,119 @@ def test_packing_limits():
         assert sum(n for *_, n in pieces) <= 64 and len(pieces) <= 5 and sum(bearing(*p) for p in pieces) <= 20
 
 
+def test_trees_equal_brute_force():
+    """One tree of one split is the best of all splits tried one by one; margins follow the trees node by node."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 3)).round(2)
+    y = ((x[:, 1] > 0.3) ^ (rng.random(120) < 0.1)).astype(float)
+    w = rng.choice([1.0, 2.0], 120)
+    (tree,), edges, base = toxicity.boost(x, y, w, trees=1, depth=1)
+    p = 1 / (1 + np.exp(-base))
+    g, h = w * (p - y), w * p * (1 - p)
+    best = (-1.0, None)
+    for j in range(3):
+        for c, edge in enumerate(edges[j]):
+            left = x[:, j] < edge
+            if h[left].sum() < 0.1 or h[~left].sum() < 0.1:
+                continue
+            gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+            best = max(best, (gain, (j, c)), key=lambda t: t[0])
+    assert (tree[0][0], tree[1][0]) == best[1]
+    trees, edges, base = toxicity.boost(x, y, w, trees=5, depth=3)
+    model = toxicity.Model(trees=trees, edges=edges, base=base)
+
+    def follow(row):
+        out = base
+        for feature, cut, value in trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(np.searchsorted(edges[feature[node]], row[feature[node]], side="right") > cut[node])
+            out += value[node - len(feature)]
+        return out
+
+    assert np.allclose(toxicity.margins(model, x), [follow(r) for r in x])
+    fx, fy = toxicity.isotonic(x[:, 1], y, w)
+    assert (np.diff(fx) > 0).all() and (np.diff(fy) > 0).all() and np.isclose((fy * 0 + 1).sum(), len(fy))
+
+
+def expected_pipeline(rows):
+    """What the stages up to packing leave of (id, text), worked out one by one: {id: text}."""
+    big = 1 << 63
+    key = lambda i: big if i is None else i
+    docs = sorted({(i, t) for i, t in rows if t and any(c.isalpha() for c in t)}, key=lambda r: (key(r[0]), r[1]))
+    # lines: of all linked lines the first stays
+    strip = " \t\n\x0b\x0c\r"
+    lines = [(n, k, line.strip(strip)) for n, (_, t) in enumerate(docs) for k, line in enumerate(t.split("\n"))]
+    distinct = sorted({x for *_, x in lines if x})
+    grams = {x: {x[j : j + 8] for j in range(len(x) - 7)} for x in distinct}
+    part = groups(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if grams[a] and grams[b] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])])
+    seen, kept = set(), defaultdict(list)
+    for n, k, x in lines:
+        if not x or part[x] not in seen:
+            kept[n].append(k)
+            seen.add(part[x])
+    docs = [(i, "\n".join([t.split("\n")[k] for k in kept[n]])) for n, (i, t) in enumerate(docs)]
+    docs = [(i, t) for i, t in docs if WORD.search(t)]
+    # near duplicates: the smallest id of each linked group stays
+    sets = [shingles(t) for _, t in docs]
+    part = groups(range(len(docs)), [(a, b) for a in range(len(docs)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    least = {p: min(key(docs[n][0]) for n in range(len(docs)) if part[n] == p) for p in part.values()}
+    docs = [docs[n] for n in range(len(docs)) if key(docs[n][0]) == least[part[n]]]
+    # passages of 50 words that an earlier document has
+    first = {}
+    for i, t in docs:
+        ws = WORD.findall(t)
+        for j in range(len(ws) - 49):
+            first[tuple(ws[j : j + 50])] = min(first.get(tuple(ws[j : j + 50]), big + 1), key(i))
+    out = {}
+    for i, t in docs:
+        ws = WORD.findall(t)
+        gone = {k for j in range(len(ws) - 49) if first[tuple(ws[j : j + 50])] < key(i) for k in range(j, j + 50)}
+        text = " ".join(w for j, w in enumerate(ws) if j not in gone) if gone else t
+        if WORD.search(text):
+            out[i] = text
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(11)
+    passage, line = " ".join(words(rnd, 60, 5000)), " ".join(words(rnd, 14, 5000))
+    rows = []
+    for i in range(70):
+        own = [" ".join(words(rnd, rnd.randrange(8, 25), 5000)) for _ in range(rnd.randrange(2, 7))]
+        if i % 3 == 0:
+            own.insert(1, line if i % 2 else line[:-1] + "x")
+        if i % 5 == 0:
+            own.append(passage + " " + " ".join(words(rnd, 10, 5000)))
+        rows.append((i, "\n".join(own)))
+    for i in range(70, 100):  # near copies on lines that differ enough
+        ws = rows[rnd.randrange(70)][1].split()
+        ws[rnd.randrange(len(ws))] = f"new{i}"
+        rows.append((i, " ".join(ws)))
+    rows += [(100, None), (101, ""), (102, "12 !?"), (103, rows[5][1]), (103, rows[5][1]), (104, "x y z"), (None, "just some words here " * 3), (105, " \n \n")]
+    df = clash(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA), "dk", "_lang", "_text", "component_id", "kept")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark_util.materialize(stage(spark, now, str(tmp_path)), "test")
+    want = expected_pipeline(rows)
+    assert {r.doc_id: r.text for r in now.collect()} == want and now.count() == len(want) and now.columns == df.columns
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for i, text in want.items():
+        ids, at = [*tokenizer.encode(text, add_special_tokens=False).ids, 2], 0
+        for start, length, crc in sorted(pieces.pop(i)):
+            assert start == at and crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert not pieces
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
