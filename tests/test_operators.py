@@ -215,3 +215,89 @@ def test_streaming_rollup(spark, tmp_path):
     run = out.writeStream.outputMode("complete").format("memory").queryName("rolled").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(r.s for r in spark.table("rolled").collect()) == [3.0, 5.0]
+
+
+def test_own_functions(spark):
+    import pandas as pd
+
+    from tidemark.functions import registry
+
+    df = frame(spark, [(1, 2.0), (1, 4.0), (2, 9.0)], "k int, v double")
+    df.createOrReplaceTempView("own_rows")
+    registry.register("twice_plus", lambda x, n: x * 2 + n, plain=(1,))
+    registry.register("spread_of", lambda x: F.max(x) - F.min(x))
+
+    def middle(v: pd.Series) -> float:
+        return float(v.median())
+
+    class Countdown:
+        def eval(self, n: int):
+            for i in range(n, 0, -1):
+                yield (i,)
+
+    try:
+        assert [r.x for r in df.select(call("twice_plus", F.col("v"), 1).alias("x")).collect()] == [5.0, 9.0, 19.0]
+        assert sorted(map(tuple, dialect.run(spark, "SELECT k, spread_of(twice_plus(v, 3)) AS s FROM own_rows GROUP BY k").collect())) == [(1, 4.0), (2, 0.0)]
+        with pytest.raises(ValueError):
+            registry.register("fnv1a", F.length)
+        registry.register_vectorised(spark, "middle_of", middle, "double")
+        assert sorted(map(tuple, dialect.run(spark, "SELECT k, middle_of(v) AS m FROM own_rows GROUP BY k").collect())) == [(1, 3.0), (2, 9.0)]
+        registry.register_table_function(spark, "countdown", Countdown, "n int")
+        assert [r.n for r in dialect.run(spark, "SELECT n FROM countdown(3)").collect()] == [3, 2, 1]
+    finally:
+        for name in ("twice_plus", "spread_of", "middle_of"):
+            registry.unregister(name)
+
+
+def test_outputs(spark, tmp_path):
+    import json
+
+    from tidemark.sources import files
+
+    df = frame(spark, [(1, "a", None), (2, None, 1.5)], "k int, s string, v double")
+    assert [json.loads(r.line) for r in files.json_lines(df).collect()] == [{"k": 1, "s": "a", "v": None}, {"k": 2, "s": None, "v": 1.5}]
+    assert json.loads(files.answer(df)) == {"columns": [{"name": "k", "type": "int"}, {"name": "s", "type": "string"}, {"name": "v", "type": "double"}], "count": 2, "dataset": [[1, "a", None], [2, None, 1.5]]}
+    with pytest.raises(ValueError):
+        files.answer(df, 1)
+    for kind, options in (("json", {}), ("csv", {"header": True}), ("tsv", {"header": True}), ("parquet", {})):
+        files.copy_to(df, str(tmp_path / kind), kind, **options)
+    assert spark.read.json(str(tmp_path / "json")).count() == files.read_csv(spark, str(tmp_path / "tsv"), sep="\t").count() == files.read_parquet(spark, str(tmp_path / "parquet")).count() == 2
+    with pytest.raises(ValueError):
+        files.copy_to(df, str(tmp_path / "x"), "xml")
+
+
+def test_analytics(spark):
+    from tidemark.operators import analytics
+
+    df = frame(spark, [("a", 1, 5.0), ("a", 2, 5.0), ("b", 3, None), (None, 4, 1.0), (None, 5, 3.0)], "k string, i int, v double")
+    assert {r.i: r.normalised for r in analytics.normalise(df, "v", ["k"]).collect()} == {1: 0.0, 2: 0.0, 3: None, 4: 0.0, 5: 1.0}
+    assert {r.i: r.zscore for r in analytics.zscore(df, "v", ["k"]).collect()} == {1: 0.0, 2: 0.0, 3: None, 4: -1.0, 5: 1.0}
+    assert [r.i for r in analytics.drop_repeats(df, [], ["i"], ["k", "v"]).orderBy("i").collect()] == [1, 3, 4, 5]
+    assert sorted((r.n, r.i) for r in analytics.numbered(df.repartition(4), ["i"], "n").collect()) == [(i, i) for i in range(1, 6)]
+    assert analytics.table_hash(df).first() == analytics.table_hash(df.repartition(3)).first() != analytics.table_hash(df.where("i > 1")).first()
+    assert [r.rows for r in analytics.table_hash(df.where("false")).collect()] == [0]
+    assert len({r.row_id for r in analytics.row_ids(df).collect()}) == 5
+    text = frame(spark, [(1, "a,b"), (2, None), (3, "")], "i int, s string")
+    assert sorted(map(tuple, analytics.split_rows(text, "s").collect()), key=str) == [(1, "a"), (1, "b"), (2, None), (3, "")]
+    with pytest.raises(Exception, match="several rows"):
+        analytics.lookup(text, frame(spark, [(1, 2), (1, 3)], "j int, w int"), [("i", "j")], ["w"]).collect()
+
+
+def test_book_snapshots(spark):
+    from tidemark.operators import market
+
+    deltas = frame(spark, [("x", "bid", 10.0, 1.0, 1, "add"), ("x", "bid", 10.0, 5.0, 3, "modify"), ("x", "bid", 9.0, 2.0, 2, "add"), ("x", "bid", 9.0, 0.0, 4, "delete"), ("x", "ask", 11.0, 7.0, 2, "Add")], "sym string, side string, price double, qty double, seq int, act string")
+    asked = frame(spark, [(0,), (2,), (9,), (9,)], "t int")
+    out = market.snapshots(deltas, "sym", "side", "price", "qty", "seq", "act", asked, "t").collect()
+    assert sorted((r.at, r.side, r.price, r.qty) for r in out) == [(2, "ask", 11.0, 7.0), (2, "bid", 9.0, 2.0), (2, "bid", 10.0, 1.0), (9, "ask", 11.0, 7.0), (9, "bid", 10.0, 5.0)]
+    best = market.depth(market.book_at(deltas, "sym", "side", "price", "qty", "seq", "act", until=2), "sym", "side", "price", "qty", 1).collect()
+    assert sorted((r.side, r.price) for r in best) == [("ask", 11.0), ("bid", 10.0)]
+    assert market.book_at(deltas, "sym", "side", "price", "qty", "seq", "act").count() == 2
+
+
+def test_ticks(spark):
+    from tidemark.operators import market
+
+    df = frame(spark, [(1, [1.25, 1.5, 1.0]), (2, []), (3, None)], "i int, p array<double>")
+    out = {r.i: (r.d, r.p) for r in df.select("i", market.delta_encode(F.col("p"), 0.25).alias("d"), market.delta_decode(market.delta_encode(F.col("p"), 0.25), 0.25).alias("p")).collect()}
+    assert out == {1: ([5, 1, -2], [1.25, 1.5, 1.0]), 2: ([], []), 3: (None, None)}

@@ -16,11 +16,31 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
 
 
 def copy_to(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", **options) -> None:
-    """COPY TO: parquet, csv or tsv."""
-    if kind not in ("parquet", "csv", "tsv"):
+    """COPY TO: parquet, csv, tsv or json (one object a line)."""
+    if kind not in ("parquet", "csv", "tsv", "json"):
         raise ValueError(f"no kind of file: {kind}")
     writer = df.write.mode(mode).options(**options)
-    writer.parquet(path) if kind == "parquet" else writer.csv(path, sep="\t" if kind == "tsv" else options.get("sep", ","), header=options.get("header", True))
+    if kind in ("parquet", "json"):
+        getattr(writer, kind)(path)
+    else:
+        writer.csv(path, sep="\t" if kind == "tsv" else options.get("sep", ","), header=options.get("header", True))
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """A row of JSON text for each row, nulls kept: what a streamed HTTP answer sends, by df.toLocalIterator()."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def answer(df: DataFrame, most: int = 10_000) -> str:
+    """A small result as one JSON document: columns with their types, and rows. Larger ones are an error."""
+    import json
+
+    rows = json_lines(df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; use json_lines")
+    columns = [{"name": n, "type": t} for n, t in df.dtypes]
+    found = [list(json.loads(r["line"]).values()) for r in rows]
+    return json.dumps({"columns": columns, "count": len(found), "dataset": found})
 
 
 def long_sequence(spark: SparkSession, n: int) -> DataFrame:
