@@ -31,9 +31,14 @@ def micros(interval: str) -> int:
 
 def bucket(ts: Column, interval: str, offset: Column | int = 0) -> Column:
     """The start of the interval that holds a timestamp, floored before 1970 too."""
-    size, shift = micros(interval), offset if isinstance(offset, Column) else F.lit(offset)
+    return from_micros(bucket_micros(ts, interval, offset))
+
+
+def bucket_micros(ts: Column, interval: str, offset: Column | int = 0) -> Column:
+    """The same in microseconds since 1970."""
+    size, shift = F.lit(micros(interval)), offset if isinstance(offset, Column) else F.lit(offset)
     us = to_micros(ts) - shift
-    return from_micros(us - F.pmod(us, F.lit(size)) + shift)
+    return us - F.pmod(us, size) + shift
 
 
 def sample_by(df: DataFrame, ts: str, interval: str, aggs: dict[str, Column], keys: list[str] = (), fill: str | float | None = None, align: str = "calendar", name: str = "bucket", firsts: list[str] = ()) -> DataFrame:
@@ -47,12 +52,12 @@ def sample_by(df: DataFrame, ts: str, interval: str, aggs: dict[str, Column], ke
     if align == "first":
         least = df.agg(F.pmod(F.min(to_micros(F.col(ts))), F.lit(micros(interval))).alias("_offset"))
         df = df.crossJoin(F.broadcast(least))  # one row
-        at = bucket(F.col(ts), interval, F.col("_offset"))
+        at = bucket_micros(F.col(ts), interval, F.col("_offset"))
     else:
-        at = bucket(F.col(ts), interval)
+        at = bucket_micros(F.col(ts), interval)
     first = [F.min_by(F.struct(*firsts), F.col(ts)).alias("_first")] if firsts else []
-    out = df.groupBy(*keys, at.alias(name)).agg(*[c.alias(n) for n, c in aggs.items()], *first)
-    out = out.select(*keys, name, *aggs, *[F.col(f"_first.{c}").alias(c) for c in firsts])
+    out = df.groupBy(*keys, at.alias("_us")).agg(*[c.alias(n) for n, c in aggs.items()], *first)
+    out = out.select(*keys, from_micros(F.col("_us")).alias(name), *aggs, *[F.col(f"_first.{c}").alias(c) for c in firsts])
     return out if fill is None else fill_gaps(out, name, interval, list(aggs), keys, fill, list(firsts))
 
 
