@@ -691,7 +691,11 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {r.doc_id: r.text for r in now.collect()} == want and now.count() == len(want) and now.columns == df.columns
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     pieces = defaultdict(list)
-    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+    folder = spark_util.shared_folder(spark)
+    earlier = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [n.split("-")[:2] for n in set(os.listdir(folder)) - earlier] == [["stage", "passages"]]
+    for r in out.collect():
         pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
     for i, text in want.items():
         ids, at = [*tokenizer.encode(text, add_special_tokens=False).ids, 2], 0

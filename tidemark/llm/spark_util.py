@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,30 @@ def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     spark._jvm.System.gc()  # shuffle files of what came before are cleaned once the driver drops their handles
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
+    for open_ in _scratch:
+        open_.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(keep: list[DataFrame]):
+    """Deletes the tables that materialize() writes inside, but for those put into `keep`, once the block ends: results
+    that read them must have been written by then."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        kept = {t._tidemark_path for t in keep}
+        for table in made:
+            if table._tidemark_path not in kept:
+                discard(table)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, whatever its columns are called: `name` with underscores added."""
     taken = {c.lower() for c in df.columns}
