@@ -216,6 +216,8 @@ spark_sql("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DE
 spark_sql("window_default_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events")
 spark_sql("window_named", "SELECT event_id, row_number() OVER w AS rn, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 spark_sql("window_ignore_nulls", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_click FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_click FROM events")
+spark_sql("sql_generate_series", "SELECT value, value * value AS square FROM generate_series(1, 500) AS g WHERE value % 7 = 0", "SELECT value, value * value AS square FROM (SELECT unnest(generate_series(1, 500)) AS value) WHERE value % 7 = 0")
+spark_sql("sql_long_sequence", "SELECT x FROM long_sequence(300)", "SELECT unnest(range(1, 301)) AS x")
 spark_sql("dialect_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 spark_sql("dialect_latest_of_subquery", "SELECT user_id, event_id FROM (SELECT * FROM events WHERE value > 5 AND event_type <> 'click') AS e LATEST ON ts PARTITION BY user_id ORDER BY user_id LIMIT 50", "SELECT user_id, event_id FROM events WHERE value > 5 AND event_type <> 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 ORDER BY user_id LIMIT 50")
 spark_sql("dialect_nested_sample", "SELECT max(n) AS most, min(n) AS least, count(*) AS buckets FROM (SELECT ts, count(*) AS n FROM events SAMPLE BY 6h ALIGN TO CALENDAR) AS s WHERE n > 1", "SELECT max(n) AS most, min(n) AS least, count(*) AS buckets FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS t, count(*) AS n FROM events GROUP BY 1) WHERE n > 1")
