@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Seen, chunks, mix, range_hashes, span_hashes, text_buffer, window_hashes, word_spans
-from .spark_util import Sieve, components, discard, forest, fresh, in_arrow, materialize
+from .spark_util import Sieve, components, contracted, discard, forest, fresh, in_arrow, materialize
 
 
 def gram_sets(part: pa.RecordBatch, gram: int, column: str = "text"):
@@ -420,8 +420,8 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, si
     near = _near(classes, found.where("h is null").select("a", "b").distinct(), percent)
     long = found.where("h is not null").select("h", F.col("a").alias("node"), "n")
     long = long.join(long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / (8 * side)).alias("sides")), "h").join(classes.select("node", "bins"), "node")
-    chains = blocks(long, "h", "node", "n", "bins").transform(in_arrow, _chains(percent), "a long, b long")
-    families = materialize(components(near.union(chains)), "families", few=True)
+    chains = blocks(long, "h", "node", "n", "bins").transform(in_arrow, contracted(_chains(percent)), "a long, b long")
+    families = materialize(components(near.union(chains), contract=False), "families", few=True)
     discard(found)
     discard(near)
     placed = classes.select("node", "n", "dk").join(families, "node")
@@ -431,7 +431,7 @@ def class_components(docs: DataFrame, gram: int, percent: int, full_run: int, si
     placed = materialize(placed, "family-members", few=True)
     sets = docs.select("dk", "text").transform(in_arrow, _sets(gram, Sieve(placed, "dk")), "dk long, set binary").dropDuplicates(["dk"]).join(placed.hint("merge"), "dk")
     dealt = blocks(sets, "family", "node", "set")
-    parts = materialize(components(dealt.transform(in_arrow, _families(percent), "a long, b long")), "set-components", few=True)
+    parts = materialize(components(dealt.transform(in_arrow, contracted(_families(percent)), "a long, b long"), contract=False), "set-components", few=True)
     for table in (families, placed, classes):
         discard(table)
     return profiles, parts

@@ -127,32 +127,44 @@ def forest(a: np.ndarray, b: np.ndarray):
         label = new
 
 
-def _contract(batches):
+def _contract(batches, most: int = 1 << 20):
     """Replaces the edges of a partition, block by block, by a star for each of its components."""
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts, held = [], 0
+
+    def stars():
+        a, b = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return a[a != b], b[a != b]
+
     for batch in batches:
-        a = np.concatenate([a, batch.column("a").to_numpy(zero_copy_only=False)])
-        b = np.concatenate([b, batch.column("b").to_numpy(zero_copy_only=False)])
-        if len(a) > 1 << 20:
-            a, b = forest(a, b)
-            keep = a != b
-            a, b = a[keep], b[keep]
-    if len(a):
-        a, b = forest(a, b)
-        keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
-
-
-def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
+        parts.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b")))
+        held += batch.num_rows
+        if held > most:
+            parts = [stars()]
+            held = len(parts[0][0])
+            most = max(most, 2 * held)
+    if parts:
+        a, b = stars()
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000], pa.int64()), pa.array(b[at : at + 100_000], pa.int64())], names=["a", "b"])
+
+
+def contracted(run):
+    """The edges that `run` gives for a partition, as stars: in the same worker, where components() would need another."""
+    return lambda batches: _contract(run(batches))
+
+
+def components(edges: DataFrame, small: int = 200_000, contract: bool = True) -> DataFrame:
     """Connected components of edges (a long, b long): a row (node, component) for each node with an edge.
 
-    The component is its smallest node. Each partition first contracts its edges to stars by union-find;
+    The component is its smallest node. Each partition first contracts its edges to stars by union-find, unless they
+    come `contracted`;
     then large-star and small-star rounds with a written table each run until nothing changes. Once no
     more than `small` edges are left, one task ends the work: a bounded size, not a collected graph.
     Rows with a null end and loops are left out; an empty input gives an empty result.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = materialize(edges.transform(in_arrow, _contract, "a long, b long").distinct(), "edges", few=True)
+    edges = edges.transform(in_arrow, _contract, "a long, b long") if contract else edges
+    now = materialize(edges.distinct(), "edges", few=True)
     for _ in range(60):
         count, check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if count <= small:
