@@ -193,6 +193,7 @@ def whole_groups(batches, keys: list[str]):
         held = [batch.slice(turn[-1])]
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    release()
 
 
 class Seen:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Seen, chunks, mix, range_hashes, span_hashes, text_buffer, window_hashes, word_spans
+from .arrays import LOWER, Seen, chunks, mix, range_hashes, release, span_hashes, text_buffer, window_hashes, word_spans
 from .spark_util import Sieve, components, contracted, discard, forest, fresh, in_arrow, materialize
 
 
@@ -256,6 +256,7 @@ def grouped(batches, keys: list[str], columns: list[str]):
                 into += v[lo:hi]
     if held is not None:
         yield now, held
+    release()
 
 
 def _chains(percent: int):

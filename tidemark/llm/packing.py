@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, SPACE, chunks, distinct_spans, ragged_take, text_buffer
+from .arrays import LOWER, SPACE, chunks, distinct_spans, ragged_take, release, text_buffer
 from .byte_bpe import sync_points
 from .spark_util import in_arrow
 from .tokens import Memo, word_encoder
@@ -221,6 +221,8 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", te
                 yield from rows()
         packer.finish()
         yield from rows()
+        words.memo.clear()  # workers live on between tasks, and few words but the most frequent ones come again
+        release()
 
     return df.select(*columns).transform(in_arrow, run, schema)
 
