@@ -93,17 +93,35 @@ def drawdown(xs: Column) -> Column:
     return F.when(F.size(xs) > 0, F.aggregate(xs, start, step)["worst"])
 
 
+def _moments(xs: Column) -> Column:
+    """Count, mean and sum of squared deviations of values, as a struct, in one pass."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def step(a: Column, x: Column) -> Column:
+        n, d = a["n"] + 1.0, x - a["m"]
+        m = a["m"] + d / n
+        return F.struct(n.alias("n"), m.alias("m"), (a["q"] + d * (x - m)).alias("q"))
+
+    return F.aggregate(xs, start, step)
+
+
+def _returns(xs: Column, f) -> Column:
+    """f of the ratios of neighbours, without those after a zero."""
+    ratio = F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: F.try_divide(x, F.get(xs, i)))
+    return F.filter(F.transform(ratio, f), lambda r: r.isNotNull())
+
+
+def _deviation(m: Column) -> Column:
+    return F.when(m["n"] >= 2, F.sqrt(m["q"] / (m["n"] - 1)))
+
+
 def realized_vol(xs: Column, periods: float = 252.0) -> Column:
-    r = F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: F.ln(F.try_divide(x, F.get(xs, i))))
-    m = mean(r)
-    return F.when(F.size(r) >= 2, F.sqrt(total(F.transform(r, lambda x: (x - m) * (x - m))) / (F.size(r) - 1)) * F.sqrt(F.lit(periods)))
+    return _deviation(_moments(_returns(xs, F.ln))) * F.sqrt(F.lit(periods))
 
 
 def sharpe(xs: Column, periods: float = 252.0) -> Column:
-    r = F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: F.try_divide(x, F.get(xs, i)) - 1)
-    m = mean(r)
-    deviation = F.sqrt(total(F.transform(r, lambda x: (x - m) * (x - m))) / (F.size(r) - 1))
-    return F.when((F.size(r) >= 2) & (deviation > 0), m / deviation * F.sqrt(F.lit(periods)))
+    m = _moments(_returns(xs, lambda r: r - 1))
+    return F.when(_deviation(m) > 0, m["m"] / _deviation(m) * F.sqrt(F.lit(periods)))
 
 
 def vwap(price: Column, volume: Column) -> Column:
@@ -164,12 +182,6 @@ def _signal(xs: Column, slow: int = 26, fast: int = 12, signal: int = 9) -> Colu
     return F.aggregate(xs, start, step)
 
 
-def _moments(xs: Column) -> Column:
-    """Count, mean and sum of squared deviations of values, as a struct."""
-    m = mean(xs)
-    return F.struct(F.size(xs).cast("double").alias("n"), F.coalesce(m, F.lit(0.0)).alias("m"), F.coalesce(total(F.transform(xs, lambda x: (x - m) * (x - m))), F.lit(0.0)).alias("q"))
-
-
 def _joined(a: Column, b: Column) -> Column:
     """The moments of two sets of values together."""
     n = a["n"] + b["n"]
@@ -188,9 +200,7 @@ def series(df: DataFrame, keys: list[str], value: str, ts: str, order: list[str]
     rows = df.where(F.col(value).isNotNull()).withColumn("_c", F.floor(to_micros(F.col(ts)) / chunk))
     xs = F.col("_xs")
     parts = rows.groupBy(*keys, "_c").agg(ordered(F.col(value), F.col(ts), *[F.col(o) for o in order]).alias("_xs"))
-    ratio = F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: F.try_divide(x, F.get(xs, i)))
-    given = lambda f: F.filter(F.transform(ratio, f), lambda r: r.isNotNull())  # noqa: E731  none after a zero
-    logs, simple = given(F.ln), given(lambda r: r - 1)
+    logs, simple = _returns(xs, F.ln), _returns(xs, lambda r: r - 1)
     summary = F.struct(
         F.col("_c").alias("c"),
         F.size(xs).cast("long").alias("n"),
