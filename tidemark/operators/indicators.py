@@ -7,7 +7,7 @@ what it does to moving averages, moments of its returns) and then the summaries
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import to_micros
@@ -159,6 +159,14 @@ def ohlcv(price: Column, volume: Column, *order: Column) -> dict[str, Column]:
 TAIL = 26
 
 
+def last_values(df: DataFrame, keys: list[str], value: str, ts: str, order: list[str] = (), n: int = TAIL) -> DataFrame:
+    """The last n values of each key in order, as an array `xs`: enough for indicators that look back no further. Each
+    task keeps n rows a key before rows are shuffled."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(ts), *[F.desc(o) for o in order])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, ts, *order, F.row_number().over(newest).alias("_nth")).where(F.col("_nth") <= n)
+    return rows.groupBy(*keys).agg(ordered(F.col(value), F.col(ts), *[F.col(o) for o in order]).alias("xs"))
+
+
 def _smooth(xs: Column, n: int, start: Column) -> Column:
     w = 2.0 / (n + 1)
     return F.aggregate(xs, start, lambda a, x: F.when(a.isNull(), x).otherwise(a * (1 - w) + x * w))

@@ -316,7 +316,10 @@ def _series(spark, sf_dir):
 
 @query("indicators_averages", SERIES + " SELECT event_type, round(avg(value) FILTER (back <= 20), 6) AS sma, round(sum(value * (21 - back)) FILTER (back <= 20) / 210, 6) AS wma, round(avg(value) FILTER (back <= 20) + 2 * stddev_pop(value) FILTER (back <= 20), 4) AS upper, round(avg(value) FILTER (back <= 20) - 2 * stddev_pop(value) FILTER (back <= 20), 4) AS lower FROM x GROUP BY 1")
 def indicators_averages(spark, sf_dir):
-    return _series(spark, sf_dir).select("event_type", r6("sma", "sma"), r6("wma", "wma"), F.round("bollinger_upper", 4).alias("upper"), F.round("bollinger_lower", 4).alias("lower"))
+    xs = F.col("xs")
+    upper, lower = indicators.bollinger(xs)
+    last = indicators.last_values(load(spark, sf_dir, "events"), ["event_type"], "value", "ts", ["event_id"])
+    return last.select("event_type", r6(indicators.sma(xs), "sma"), r6(indicators.wma(xs), "wma"), F.round(upper, 4).alias("upper"), F.round(lower, 4).alias("lower"))
 
 
 @query("indicators_moves", SERIES + " SELECT event_type, round(avg(abs(value - prev)) FILTER (back <= 14), 6) AS atr, round(100 - 100 / (1 + sum(greatest(value - prev, 0)) FILTER (back <= 14) / sum(greatest(prev - value, 0)) FILTER (back <= 14)), 6) AS rsi, round(max((peak - value) / peak), 6) AS drawdown FROM x GROUP BY 1")
