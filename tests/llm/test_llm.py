@@ -279,6 +279,28 @@ def test_line_links_of_a_large_family(spark):
     assert 1 < len(set(part.values())) < 300
 
 
+def test_line_passes(spark, monkeypatch):
+    """Near copies, which share most of their buckets: no pass ships many more rows than there are lines."""
+    rnd = random.Random(5)
+    lines = []
+    for _ in range(60):
+        base = [rnd.choice("abcdefgh ") for _ in range(300)]
+        for _ in range(8):
+            own = list(base)
+            own[rnd.randrange(300)] = rnd.choice("XYZ")
+            lines.append("|" + "".join(own) + "|")
+    grams = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    part = groups(range(480), [(i, j) for i in range(480) for j in range(i) if 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])])
+    shipped, in_order = defaultdict(list), line_dedup.in_order
+    monkeypatch.setattr(line_dedup, "in_order", lambda rows, group, node: (shipped[group].append(rows.count()), in_order(rows, group, node))[1])
+    monkeypatch.setattr(line_dedup, "ROOM", 1)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_removed == 0}
+    assert kept == set(part.values()) and len(kept) == 60
+    assert sum(shipped["key"]) > 4 * 480 and max(shipped["key"]) < 2 * 480
+    assert sum(shipped["family"]) == len(set(lines)) and max(shipped["family"]) < 400
+
+
 def test_sieve(spark):
     rnd = np.random.default_rng(4)
     keys = np.r_[rnd.integers(-(2**63), 2**63 - 1, 3000), 0, -1, 2**63 - 1, -(2**63)]
