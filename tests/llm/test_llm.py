@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +302,19 @@ def test_line_passes(spark, monkeypatch):
     assert sum(shipped["family"]) == len(set(lines)) and max(shipped["family"]) < 400
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x for top in folders for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(spark_util.CLEANUP)
+    table = spark_util.materialize(spark.range(1000).repartition(3, "id"), "swept")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(spark_util.CLEANUP) == setting
+    assert table.count() == 1000
+
+
 def test_sieve(spark):
     rnd = np.random.default_rng(4)
     keys = np.r_[rnd.integers(-(2**63), 2**63 - 1, 3000), 0, -1, 2**63 - 1, -(2**63)]
