@@ -754,3 +754,22 @@ def test_pipeline(spark, docs, tmp_path):
         assert after.columns == now.columns
         now = spark_util.materialize(after, "test")
     assert now.count() > 30
+
+
+def test_band_rows_are_few():
+    """Rows of band keys are as many as shares, not as keys, and hold each key of a line; keys are the plain ones."""
+    rnd = random.Random(3)
+    texts = ["\n".join("".join(rnd.choice("abcdé ") for _ in range(rnd.choice([3, 40, 90]))) for _ in range(30)) + f"\n{'xy' * 40_000}" for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(range(12)), pa.array(texts)], names=["id", "dk", "text"])
+    keys = [np.concatenate(x) for x in zip(*line_dedup._band_keys(8, 12, 3)([batch]), strict=True)]
+    rows = pa.Table.from_batches(line_dedup._band_rows(8, 12, 3, 20)([batch]))
+    pairs = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in rows.column("keys").to_pylist()]
+    assert rows.num_rows <= 20 < len(keys[0])
+    assert sorted(map(tuple, np.concatenate(pairs).tolist())) == sorted(zip(keys[0].view(np.int64).tolist(), keys[1].tolist(), strict=True))
+    assert all((p[:, 0].view(np.uint64) // np.uint64(-(-(2**64) // 20)) == s).all() for s, p in zip(rows.column("share").to_pylist(), pairs, strict=True))
+    hashes = np.random.default_rng(2).integers(0, 2**63, 100_000).astype(np.uint64) * np.uint64(2)
+    first, last = np.array([5, 40, 700, 60_000, 99_990]), np.array([30, 600, 50_000, 99_000, 100_000])
+    whole = line_dedup.signatures(hashes, first, last, 2, 2)
+    low = [[int((((hashes[a:b] >> np.uint64(32)).astype(np.uint32)) * line_dedup.MULTIPLIERS[j]).min()) for j in range(4)] for a, b in zip(first, last, strict=True)]
+    mix = lambda x: int(arrays.mix(np.array([x % 2**64], np.uint64))[0])
+    assert whole.tolist() == [[mix(mix(m[j] + j + 1) + m[j + 1] + j + 2) for j in (0, 2)] for m in low]
