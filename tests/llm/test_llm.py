@@ -773,3 +773,13 @@ def test_band_rows_are_few():
     low = [[int((((hashes[a:b] >> np.uint64(32)).astype(np.uint32)) * line_dedup.MULTIPLIERS[j]).min()) for j in range(4)] for a, b in zip(first, last, strict=True)]
     mix = lambda x: int(arrays.mix(np.array([x % 2**64], np.uint64))[0])
     assert whole.tolist() == [[mix(mix(m[j] + j + 1) + m[j + 1] + j + 2) for j in (0, 2)] for m in low]
+
+
+def test_written_tables_are_few_files(spark):
+    """A checksum file in a local folder starts a process for its permissions: there is none."""
+    table = spark_util.materialize(spark.range(1000).repartition(40, "id"), "files", few=True)
+    names = os.listdir(table._tidemark_path.removeprefix("file:"))
+    assert not [x for x in names if x.endswith(".crc")] and len([x for x in names if x.startswith("part-")]) <= 16
+    assert table.count() == 1000
+    lines = line_dedup.dedup_lines(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("one line of some length").alias("text")).repartition(40))
+    assert lines.rdd.getNumPartitions() <= 16
