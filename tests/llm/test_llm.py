@@ -783,3 +783,11 @@ def test_written_tables_are_few_files(spark):
     assert table.count() == 1000
     lines = line_dedup.dedup_lines(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("one line of some length").alias("text")).repartition(40))
     assert lines.rdd.getNumPartitions() <= 16
+
+
+def test_fingerprints_lie_in_few_files(spark):
+    """Ranges are worked on one by one, several to a task and a file."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), "id").alias("text"))
+    few = fingerprints.fingerprint_pairs(df, target_bytes=128)
+    assert few.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in fingerprints.fingerprint_pairs(df).collect()}

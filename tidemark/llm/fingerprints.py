@@ -26,6 +26,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spark_util import in_few
+
 WORDS = r"[ \t-\r]+"
 
 
@@ -93,8 +95,9 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(len(cuts) - 1)).otherwise(coarse * step + F.greatest(not_smaller(fine) - 1, F.lit(0)))
 
 
-def neighbours(docs: DataFrame, key: str, target_bytes: int) -> DataFrame:
-    """Rows (range, nth, guard, key, text, next_text) in descending key order; guards repeat the next range's first row."""
+def neighbours(docs: DataFrame, key: str, target_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (range, nth, guard, key, text, next_text) in descending key order, and their number of partitions; guards
+    repeat the next range's first row."""
     cuts, partitions = _ranges(docs, key, target_bytes)
     own = docs.withColumn("range", _range_of(F.col(key), cuts or [0]).cast("int"))
     # a table of null keys alone is one range, each of whose rows may be the first
@@ -105,7 +108,7 @@ def neighbours(docs: DataFrame, key: str, target_bytes: int) -> DataFrame:
     copies = copies.otherwise(F.array(F.struct("range", F.lit(False).alias("guard"))))
     rows = own.withColumn("copy", F.explode(copies)).select(F.col("copy.range").alias("range"), F.col("copy.guard").alias("guard"), key, "text")
     order = Window.partitionBy("range").orderBy("guard", F.col(key).desc_nulls_last(), "text")
-    return rows.repartition(partitions, "range").select("*", F.row_number().over(order).alias("nth"), F.lead("text").over(order).alias("next_text"))
+    return rows.repartition(partitions, "range").select("*", F.row_number().over(order).alias("nth"), F.lead("text").over(order).alias("next_text")), partitions
 
 
 def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: int = 64, target_bytes: int = 8 << 20) -> DataFrame:
@@ -117,7 +120,7 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = neighbours(docs, "key", target_bytes)
+    rows, partitions = neighbours(docs, "key", target_bytes)
     keep = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
     edited = F.concat("keep", F.substring(F.col("next_text"), F.lit(1), F.length("text") - F.length("keep")))
     rows = rows.withColumn("keep", keep).withColumn("edited", edited)
@@ -145,7 +148,7 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fact = lambda i: F.get("note", F.lit(i))
     out = signed.select("range", "nth", (fact(2) == "true").alias("guard"), F.when(fact(3) != "-", F.decode(F.unhex(fact(3)), "UTF-8")).cast(kind).alias("key"), fact(1).cast("long").alias("n_chars"), fact(0).alias("edited_sha256"), signature("a", bins).alias("own"), signature("b", bins).alias("other"))
     out = out.withColumn("next", F.lead("own").over(Window.partitionBy("range").orderBy("nth"))).where(~F.col("guard"))
-    return out.select(
+    return in_few(out, partitions).select(
         F.col("key").alias(key),
         "n_chars",
         "edited_sha256",
