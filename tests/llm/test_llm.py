@@ -95,6 +95,37 @@ def test_pair_counts():
     assert [list(g) for g in got] == [[len(s) for s, _ in sets], [len(t) for _, t in sets], [len(s & t) for s, t in sets]]
 
 
+@pytest.mark.parametrize("split", [None, 7])
+def test_overlaps(split):
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 60, k)).astype(np.uint64) for k in (0, 1, 5, 30, 30, 80, 200, 3, 40, 90)]
+    left, right = (sets, sets) if split is None else (sets[:split], sets[split:])
+    for room in (1, 1 << 22):
+        assert jaccard.overlaps(sets, split, room=room).tolist() == [[len(np.intersect1d(a, b)) if a is not b else len([x for x in a if sum(x in s for s in sets) > 1]) for b in right] for a in left]
+    assert jaccard.overlaps(sets, split, most=10) is None
+
+
+def test_links_hash_each_line_of_a_family_once(monkeypatch):
+    """Families of eight lines have 28 pairs each, and a larger one more; their lines are still hashed once."""
+    rnd = random.Random(3)
+    rows = []
+    for family, size in enumerate([8, 2, 5, 8, 40, 3]):
+        base = [rnd.choice("abcdefgh ") for _ in range(120)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rnd.randrange(0, 3)):
+                own[rnd.randrange(120)] = rnd.choice("XYZ")
+            rows.append((family, 0, 0, 0, len(rows), "".join(own)))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["family", "lo", "hi", "own", "line", "text"])
+    hashed, hashes = [], line_dedup.shingle_hashes
+    monkeypatch.setattr(line_dedup, "shingle_hashes", lambda buf, a, b, k: (hashed.append(len(a)), hashes(buf, a, b, k))[1])
+    found = [e for b in line_dedup._links(8, 80)([batch]) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+    grams = [{r[5][j : j + 8] for j in range(len(r[5]) - 7)} for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])]
+    assert groups(range(len(rows)), found) == groups(range(len(rows)), links) and 10 < len(links)
+    assert sum(hashed) == len(rows)
+
+
 @pytest.mark.parametrize("room", [1, 1 << 25])
 def test_trie_links_equal_brute_force(room):
     rnd = np.random.default_rng(2)
