@@ -182,6 +182,14 @@ def test_series_indicators_equal_whole_arrays(spark):
             assert (got[r.k][c] is None) == (r[c] is None) and (r[c] is None or got[r.k][c] == pytest.approx(r[c], rel=1e-9)), (r.k, c)
 
 
+def test_skew_join_broadcasts_no_copies(spark, tmp_path):
+    """The right side's copies are not in its size, so a small file's would all be broadcast."""
+    spark.range(3000).select(F.col("id").alias("j")).write.parquet(str(tmp_path / "r"))
+    joined = timeseries.skew_join(spark.range(50).select((F.col("id") % 7).alias("k")), spark.read.parquet(str(tmp_path / "r")), [("k", "j")])
+    assert joined.count() == 50
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_theta_and_skew_joins(spark):
     l, r = spark.range(50).withColumn("k", F.col("id") % 2), spark.range(4).select((F.col("id") % 3).alias("j"), F.col("id").alias("w"))
     assert timeseries.theta_join(l, r, F.col("id") < F.col("w")).count() == 0 + 1 + 2 + 3

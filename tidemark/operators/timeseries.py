@@ -195,7 +195,8 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column, most: int =
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join with hot keys on the left: each left row draws one of `salts`, each right row is there once for each."""
+    """Equi-join with hot keys on the left: each left row draws one of `salts`, each right row is there once for each. Both
+    sides are shuffled and merged: Spark sizes the right side without its copies, and would broadcast them all."""
     if how not in ("inner", "left"):
         raise ValueError("inner or left")
     l = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
@@ -203,7 +204,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], sa
     on = F.col("_salt") == F.col("_of")
     for a, b in keys:
         on &= F.col(a) == F.col(b)
-    return l.join(r, on, how).drop("_salt", "_of")
+    return l.join(r.hint("merge"), on, how).drop("_salt", "_of")
 
 
 def mark_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], name: str = "matched") -> DataFrame:
