@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.functions.library import call, find
 from tidemark.operators import dml, indicators, timeseries
 from tidemark.plans import dialect
@@ -182,6 +184,21 @@ def test_series_indicators_equal_whole_arrays(spark):
             assert (got[r.k][c] is None) == (r[c] is None) and (r[c] is None or got[r.k][c] == pytest.approx(r[c], rel=1e-9)), (r.k, c)
 
 
+def test_risk_of_a_series_with_zeros(spark, tmp_path):
+    """As in SQL, returns to or from a zero leave no finite volatility and ratio, within a chunk and across chunks."""
+    values = {"in": [1.0, 2.0, 0.0, 4.0, 5.0, 6.0], "across": [1.0, 2.0, 3.0, 0.0, 5.0, 6.0], "end": [1.0, 2.0, 3.0, 4.0, 5.0, 0.0], "none": [1.0, 2.0, 4.0, 3.0, 5.0, 6.0], "one": [0.0, 2.0]}
+    rows = [(8 * i + j, at(j), k, v) for i, (k, x) in enumerate(values.items()) for j, v in enumerate(x)]
+    frame(spark, rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    events = spark.read.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {k: (repr(vol), repr(ratio)) for k, vol, ratio in con.execute(queries.ORACLES["indicators_risk"]).fetchall()}
+    for chunk in (3 * 3_600_000_000, 86_400_000_000):
+        out = indicators.series(events, ["event_type"], "value", "ts", ["event_id"], chunk=chunk).select("event_type", F.round("realized_vol", 4), F.round("sharpe", 4))
+        assert {k: (repr(vol), repr(ratio)) for k, vol, ratio in out.collect()} == want
+    assert want["in"] == want["across"] == ("nan", "nan") and want["end"][0] == "nan" and want["none"][0] != "nan"
+
+
 def test_skew_join_broadcasts_no_copies(spark, tmp_path):
     """The right side's copies are not in its size, so a small file's would all be broadcast."""
     spark.range(3000).select(F.col("id").alias("j")).write.parquet(str(tmp_path / "r"))

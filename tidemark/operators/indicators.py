@@ -105,9 +105,19 @@ def _moments(xs: Column) -> Column:
     return F.aggregate(xs, start, step)
 
 
+def _ratio(x: Column, before: Column) -> Column:
+    """x / before; NaN after a zero, as infinite returns leave no mean and no deviation."""
+    return F.coalesce(F.try_divide(x, before), F.when(x.isNotNull() & before.isNotNull(), F.lit(float("nan"))))
+
+
+def _log(ratio: Column) -> Column:
+    """ln of a ratio; NaN of those that have no finite one."""
+    return F.when(ratio > 0, F.ln(ratio)).when(ratio.isNotNull(), F.lit(float("nan")))
+
+
 def _returns(xs: Column, f) -> Column:
-    """f of the ratios of neighbours, without those after a zero."""
-    ratio = F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: F.try_divide(x, F.get(xs, i)))
+    """f of the ratios of neighbours."""
+    ratio = F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: _ratio(x, F.get(xs, i)))
     return F.filter(F.transform(ratio, f), lambda r: r.isNotNull())
 
 
@@ -116,7 +126,7 @@ def _deviation(m: Column) -> Column:
 
 
 def realized_vol(xs: Column, periods: float = 252.0) -> Column:
-    return _deviation(_moments(_returns(xs, F.ln))) * F.sqrt(F.lit(periods))
+    return _deviation(_moments(_returns(xs, _log))) * F.sqrt(F.lit(periods))
 
 
 def sharpe(xs: Column, periods: float = 252.0) -> Column:
@@ -208,7 +218,7 @@ def series(df: DataFrame, keys: list[str], value: str, ts: str, order: list[str]
     rows = df.where(F.col(value).isNotNull()).withColumn("_c", F.floor(to_micros(F.col(ts)) / chunk))
     xs = F.col("_xs")
     parts = rows.groupBy(*keys, "_c").agg(ordered(F.col(value), F.col(ts), *[F.col(o) for o in order]).alias("_xs"))
-    logs, simple = _returns(xs, F.ln), _returns(xs, lambda r: r - 1)
+    logs, simple = _returns(xs, _log), _returns(xs, lambda r: r - 1)
     summary = F.struct(
         F.col("_c").alias("c"),
         F.size(xs).cast("long").alias("n"),
@@ -244,8 +254,8 @@ def series(df: DataFrame, keys: list[str], value: str, ts: str, order: list[str]
             F.when(fresh, m["f"]).otherwise(a["f"] * m["pf"] + m["fz"]).alias("f"),
             F.when(fresh, m["s"]).otherwise(a["s"] * m["ps"] + m["sz"]).alias("s"),
             F.when(fresh, m["g"]).otherwise(a["g"] * m["pg"] + a["f"] * m["hf"] + a["s"] * m["hs"] + m["gz"]).alias("g"),
-            _joined(_joined(a["logs"], _single(F.ln(F.try_divide(b["first"], a["last"])))), b["logs"]).alias("logs"),
-            _joined(_joined(a["simple"], _single(F.try_divide(b["first"], a["last"]) - 1)), b["simple"]).alias("simple"),
+            _joined(_joined(a["logs"], _single(_log(_ratio(b["first"], a["last"])))), b["logs"]).alias("logs"),
+            _joined(_joined(a["simple"], _single(_ratio(b["first"], a["last"]) - 1)), b["simple"]).alias("simple"),
         )
 
     folded = whole.select(*keys, F.aggregate("_all", start, step).alias("_f"))
