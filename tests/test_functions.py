@@ -184,3 +184,15 @@ def test_values_by_name_in_sql(spark):
         row = dialect.run(spark, f"SELECT {text}").first()
         wrong += [(n, args, row[f"c{i}"], want) for i, (n, args, want) in enumerate(block) if not same(row[f"c{i}"], want)]
     assert not wrong
+
+
+def test_gcd_takes_no_more_steps_than_its_numbers_need(spark):
+    import math
+
+    fibonacci = [1, 1]
+    while sum(fibonacci[-2:]) < 2**63:
+        fibonacci.append(sum(fibonacci[-2:]))
+    rows = [*zip(fibonacci, fibonacci[1:]), *zip(fibonacci[1:], fibonacci), (2**63 - 1, 2**63 - 2), (0, 0), (0, 5), (-12, 18), (None, 3), (4, None)]
+    found = spark.createDataFrame(rows, "a long, b long").select("a", "b", call("gcd", F.col("a"), F.col("b")).alias("g"))
+    assert [r.g for r in found.collect()] == [None if None in r else math.gcd(*r) for r in rows]
+    assert "sequence(1, 93" not in found._jdf.queryExecution().analyzed().toString()

@@ -159,9 +159,12 @@ def _chain(s: Column, pairs) -> Column:
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps folded over a fixed count: 93 suffice for 64 bits."""
-    start = F.struct(F.abs(_long(a)).alias("a"), F.abs(_long(b)).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(s["a"], s["b"])).alias("b")))["a"]
+    """Euclid's steps, folded over as many as the smaller number may take (Lame: its bits over log2 of the golden ratio,
+    and one to swap); those after the end pass the pair on as it is."""
+    a, b = F.abs(_long(a)), F.abs(_long(b))
+    most = F.ceil(F.log2(F.least(a, b).cast("double") + 1) * 1.4405) + 2
+    start = F.struct(a.alias("a"), b.alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), most.cast("int")), start, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))))["a"]
 
 
 def _scaled(x: Column, d: Column, how: Callable[[Column], Column]) -> Column:
