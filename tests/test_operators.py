@@ -207,6 +207,17 @@ def test_skew_join_broadcasts_no_copies(spark, tmp_path):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_band_join_deals_many_pairs(spark):
+    """Few small rows with many pairs are dealt out by pairs, one hot group too, and give the rows of a plain join."""
+    l = spark.range(300).select(F.col("id").alias("a"), (F.col("id") % 3).alias("k"), F.when(F.col("id") % 50 > 0, 7.5).alias("x"))
+    r = spark.range(400).select(F.col("id").alias("b"), (F.col("id") % 4).alias("j"), (F.col("id") % 20).cast("double").alias("y"))
+    found = timeseries.band_join(l, r, "x", "y", 2.0, [("k", "j")], most=50)
+    plain = l.join(r, (F.abs(F.col("x") - F.col("y")) <= 2.0) & (F.col("k") == F.col("j")))
+    rows = lambda df: sorted(map(tuple, df.select("a", "b").collect()))
+    assert found.columns == plain.columns and rows(found) == rows(plain) and len(rows(plain)) > 1000
+    assert found.rdd.getNumPartitions() > 100
+
+
 def test_theta_and_skew_joins(spark):
     l, r = spark.range(50).withColumn("k", F.col("id") % 2), spark.range(4).select((F.col("id") % 3).alias("j"), F.col("id").alias("w"))
     assert timeseries.theta_join(l, r, F.col("id") < F.col("w")).count() == 0 + 1 + 2 + 3

@@ -162,15 +162,32 @@ def asof_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, keys: l
     return found.select("_l.*", *[F.when(hit, F.col(f"_m.{c}")).alias(prefix + c) for c in columns])
 
 
-def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, keys: list[tuple[str, str]] = ()) -> DataFrame:
-    """Inner join of rows whose values differ by `width` at most: an equi-join on the band's number and its neighbours."""
+def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, keys: list[tuple[str, str]] = (), most: int = 1 << 24) -> DataFrame:
+    """Inner join of rows whose values differ by `width` at most: an equi-join on the band's number and its neighbours.
+
+    The pairs to try are counted first. With more than `most` of them both sides are dealt to as many partitions as give
+    each about so many, a large group's right rows to several; by bytes alone a few tasks would do all the work.
+    """
     number = lambda c: F.floor(F.col(c) / F.lit(width))
     l = left.withColumn("_band", F.explode(F.sequence(number(left_value) - 1, number(left_value) + 1)))
     r = right.withColumn("_of", number(right_value))
     on = (F.col("_band") == F.col("_of")) & (F.abs(F.col(left_value) - F.col(right_value)) <= F.lit(width))
     for a, b in keys:
         on &= F.col(a) == F.col(b)
-    return l.join(r, on).drop("_band", "_of")
+    own = ["_g", *[f"_g{i}" for i in range(len(keys))]]
+    counted = lambda rows, names, n: rows.groupBy(*[F.col(c).alias(g) for c, g in zip(names, own, strict=True)]).agg(F.count(F.lit(1)).alias(n))
+    l_names, r_names = ["_band", *[a for a, _ in keys]], ["_of", *[b for _, b in keys]]
+    pairs = F.col("_nl").cast("double") * F.col("_nr")
+    groups = counted(l, l_names, "_nl").join(counted(r, r_names, "_nr"), own).select(*own, F.ceil(pairs / most).alias("_sides"), pairs.alias("_pairs"))
+    total = groups.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0))).first()[0]
+    if total <= most:
+        return l.join(r, on).drop("_band", "_of")
+    sided = lambda rows, names: rows.join(groups.select(*own, "_sides"), [F.col(c) == F.col(g) for c, g in zip(names, own, strict=True)]).drop(*own)
+    partitions = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / most) + 1)
+    l = sided(l, l_names).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sides") - 1))).drop("_sides")
+    r = sided(r, r_names).withColumn("_own", F.pmod(F.xxhash64(*right.columns), "_sides")).drop("_sides")
+    l, r = l.repartition(partitions, *l_names, "_part"), r.repartition(partitions, *r_names, "_own")
+    return l.join(r.hint("merge"), on & (F.col("_part") == F.col("_own"))).drop("_band", "_of", "_part", "_own")
 
 
 def window_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, width: str, keys: list[tuple[str, str]] = ()) -> DataFrame:
